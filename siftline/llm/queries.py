@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import copies
+from siftline.llm import copies, lookalike
 from siftline.sources.tables import table
 
 
@@ -14,5 +14,13 @@ def p1_collapsed(spark, d):
     return copies.collapse(table(spark, d, "nq_sample_rows"), table(spark, d, "index_chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed)}
+def p5_found(spark, d):
+    return lookalike.find(table(spark, d, "nq_sample_rows"))
+
+
+def p5_normalised(spark, d):
+    return lookalike.normalise(table(spark, d, "nq_sample_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p5_found, p5_normalised)}
 ORACLES: dict[str, str] = {}
