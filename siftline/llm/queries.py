@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import copies, lookalike
+from siftline.llm import copies, encode, lookalike, mixture
 from siftline.sources.tables import table
 
 
@@ -22,5 +22,17 @@ def p5_normalised(spark, d):
     return lookalike.normalise(table(spark, d, "nq_sample_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p5_found, p5_normalised)}
+def p7_ids(spark, d):
+    return encode.encode(table(spark, d, "documents"), ["doc_id"])
+
+
+def p8_mixture(spark, d):
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p8_shares(spark, d):
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
 ORACLES: dict[str, str] = {}
