@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import copies, encode, lookalike, mixture
+from siftline.llm import copies, encode, lookalike, mixture, termfreq
 from siftline.sources.tables import table
 
 
@@ -14,6 +14,14 @@ def p1_collapsed(spark, d):
     return copies.collapse(table(spark, d, "nq_sample_rows"), table(spark, d, "index_chunks"))
 
 
+def p4_found(spark, d):
+    return termfreq.find(table(spark, d, "pass1_states"))
+
+
+def p4_terms(spark, d):
+    return termfreq.bands(table(spark, d, "pass1_states"))
+
+
 def p5_found(spark, d):
     return lookalike.find(table(spark, d, "nq_sample_rows"))
 
@@ -34,5 +42,15 @@ def p8_shares(spark, d):
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_terms, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
+_TERMS = """
+WITH s AS (SELECT * FROM pass1_states WHERE nd IS NOT NULL OR term_to_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY written_at DESC) = 1),
+e AS (SELECT unnest(map_keys(nd)) AS term, unnest(map_values(nd)) AS chunks, 0 AS occurrences FROM s
+UNION ALL SELECT unnest(map_keys(term_count)), 0, unnest(map_values(term_count)) FROM s UNION ALL SELECT unnest(map_keys(term_to_id)), 0, 0 FROM s),
+t AS (SELECT term, sum(chunks)::BIGINT AS chunks, sum(occurrences)::BIGINT AS occurrences FROM e GROUP BY term),
+b AS (SELECT term, chunks, occurrences, CASE WHEN chunks < 3 THEN 'rare' WHEN chunks > 0.2 * (SELECT sum(document_count) FROM s) THEN 'common' ELSE 'useful' END AS band FROM t)
+"""
+ORACLES = {
+    "p4_found": _TERMS + "SELECT term, band FROM b WHERE band <> 'useful'",
+    "p4_terms": _TERMS + "SELECT term, chunks, occurrences, band FROM b",
+}
