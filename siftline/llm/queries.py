@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.llm import copies, encode, lookalike, mixture, termfreq
+from pyspark.sql import functions as F
+
+from siftline.llm import copies, encode, lookalike, mixture, neighbours, termfreq
 from siftline.sources.tables import table
 
 
@@ -14,6 +16,16 @@ def p1_collapsed(spark, d):
     return copies.collapse(table(spark, d, "nq_sample_rows"), table(spark, d, "index_chunks"))
 
 
+def p3_found(spark, d):
+    return neighbours.pairs(table(spark, d, "dense_points"))
+
+
+def p3_neighbours(spark, d):
+    """The chunks most similar to each chunk that has a usable vector, with their texts' ids."""
+    chunks = table(spark, d, "index_chunks").where("text IS NOT NULL").select(F.col("chunk_id").alias("point_id"), "group_id")
+    return neighbours.neighbours(table(spark, d, "dense_points")).join(chunks, "point_id").select("point_id", "group_id", "other_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p4_found(spark, d):
     return termfreq.find(table(spark, d, "pass1_states"))
 
@@ -42,7 +54,7 @@ def p8_shares(spark, d):
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_terms, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
 _TERMS = """
 WITH s AS (SELECT * FROM pass1_states WHERE nd IS NOT NULL OR term_to_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY written_at DESC) = 1),
 e AS (SELECT unnest(map_keys(nd)) AS term, unnest(map_values(nd)) AS chunks, 0 AS occurrences FROM s
