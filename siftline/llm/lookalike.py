@@ -167,7 +167,7 @@ class Rewriter:
             at = end + 1
         if parts:
             text = "".join(parts) + text[at:]
-        if any(ACCENT.match(c) for c in text if c >= "̀"):  # accents that no single composed letter holds, in any order
+        if ACCENT.search(text):  # accents that no single composed letter holds, in any order
             text = unicodedata.normalize("NFC", text)
         return WORD.sub(self._word, text) if self.letters.search(text) else text
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import copies, encode, lookalike, mixture, neighbours, termfreq
+from siftline.llm import boilerplate, copies, encode, lookalike, mixture, neighbours, residue, termfreq
 from siftline.sources.tables import table
 
 
@@ -42,6 +42,14 @@ def p5_normalised(spark, d):
     return lookalike.normalise(table(spark, d, "nq_sample_rows"))
 
 
+def p6_found(spark, d):
+    return boilerplate.chrome_lines(table(spark, d, "nq_sample_rows"))
+
+
+def p6_main_body(spark, d):
+    return boilerplate.main_body(table(spark, d, "nq_sample_rows"))
+
+
 def p7_ids(spark, d):
     return encode.encode(table(spark, d, "documents"), ["doc_id"])
 
@@ -54,7 +62,15 @@ def p8_shares(spark, d):
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_normalised, p7_ids, p8_mixture, p8_shares)}
+def p9_found(spark, d):
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_clean(spark, d):
+    return residue.clean(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_normalised, p6_found, p6_main_body, p7_ids, p8_mixture, p8_shares, p9_found, p9_clean)}
 _TERMS = """
 WITH s AS (SELECT * FROM pass1_states WHERE nd IS NOT NULL OR term_to_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY written_at DESC) = 1),
 e AS (SELECT unnest(map_keys(nd)) AS term, unnest(map_values(nd)) AS chunks, 0 AS occurrences FROM s
