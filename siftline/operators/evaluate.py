@@ -78,7 +78,7 @@ def labelled_hits(hits: DataFrame, labels: DataFrame, contract: str) -> DataFram
     else:
         own = {"point_id": h["point_id"], "group_id": h["group_id"], "source_row_ordinal": h["hit_row"].cast("string")}[contract]
         on, order, name = same & (own == mine["label"]), F.col("label"), mine["label"]
-    joined = h.drop("group_id").join(mine, on, "inner").select(h["mode"], h["query_id"], h["rank"], order.alias("o"), name.alias("l"))
+    joined = h.join(mine, on, "inner").select(h["mode"], h["query_id"], h["rank"], order.alias("o"), name.alias("l"))
     return joined.groupBy("mode", "query_id", "rank").agg(F.min_by("l", "o").alias("label"))
 
 

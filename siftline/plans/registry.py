@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.plans import ingest_queries, nested_queries
+from siftline.plans import ingest_queries, nested_queries, retrieval_queries, study_queries
 
-MODULES = (ingest_queries, nested_queries)
+MODULES = (retrieval_queries, study_queries, ingest_queries, nested_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
-FLAGSHIP = QUERIES["p2_found"]
+FLAGSHIP = QUERIES["hybrid_topk"]
