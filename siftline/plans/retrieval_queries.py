@@ -13,6 +13,7 @@ from siftline.functions import text as T
 from siftline.operators import dense, evaluate, fusion, generate, sparse
 from siftline.plans import sql as S
 from siftline.sources.tables import table
+from siftline.streaming import resume
 
 CONFIG = EngineConfig()
 EVERY, K, KS = 20, 10, (1, 5, 10, 20)
@@ -215,6 +216,11 @@ def mode_winners(spark, d):
     return evaluate.winners(_metrics(spark, d, "answer_overlap")).withColumn("value", F.round("value", 6))
 
 
+def resume_antijoin(spark, d):
+    """Chunks that have no point yet."""
+    return resume.missing(_chunks(spark, d).select("chunk_id"), table(spark, d, "dense_points").select("point_id"), "chunk_id", "point_id")
+
+
 _Q = f"q AS (SELECT source_row_ordinal AS query_id, min({S.optional('question')}) AS text FROM index_chunks WHERE source_row_ordinal % {EVERY} = 0 AND {S.optional('question')} IS NOT NULL GROUP BY 1)"
 _DOCS = f"""
 d AS (SELECT chunk_id AS doc_id, coalesce({S.analyze('text')}, []) AS toks FROM index_chunks),
@@ -320,6 +326,7 @@ SELECT query_id, sha1('{generate.CONTRACT.replace("'", "''").replace(chr(10), "'
     "citation_filter": f"""WITH {_EVIDENCE}, c AS (SELECT query_id, point_id, rank FROM sp WHERE rank <= 5 AND (query_id, point_id) IN (SELECT query_id, point_id FROM ev)),
 n AS (SELECT query_id, count(*) AS n, string_agg(point_id, '|' ORDER BY rank) AS ids FROM c GROUP BY 1)
 SELECT query_id, CASE WHEN coalesce(n, 0) >= 2 THEN 'yes' ELSE '' END AS answer, coalesce(n, 0) < 2 AS abstained, CASE WHEN n >= 2 THEN ids ELSE '' END AS citations FROM (SELECT DISTINCT query_id FROM ev) LEFT JOIN n USING (query_id)""",
+    "resume_antijoin": "SELECT chunk_id FROM index_chunks WHERE chunk_id NOT IN (SELECT point_id FROM dense_points WHERE point_id IS NOT NULL)",
     "eval_cases": f"WITH {_GOLD} SELECT query, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in evaluate.KIND.values())} FROM gl GROUP BY query",
     "eval_labels": f"WITH {_GOLD} SELECT query, kind, label FROM gl",
     **{f"eval_contract_{c}": _metrics_sql(c) + _MEANS for c in CONTRACTS},
@@ -328,6 +335,6 @@ SELECT metric, mode, k, round(value, 6) AS value FROM lo QUALIFY row_number() OV
 }
 _ALL = (
     corpus_stats, document_frequency, term_ids, okapi_idf, bm25_doc_weights, query_terms, missing_terms, bm25_topk, *map(_dense_query, ("Cosine", "Dot", "Euclid", "Manhattan")), rrf_fusion, hybrid_topk, _single("sparse"), _single("dense"),
-    rerank_inputs, rerank_lexical, dedupe_metrics, prompt_budget, prompts, grounded_heuristic, citation_filter, eval_cases, eval_labels, *map(_contract, CONTRACTS), mode_winners,
+    rerank_inputs, rerank_lexical, dedupe_metrics, prompt_budget, prompts, grounded_heuristic, citation_filter, resume_antijoin, eval_cases, eval_labels, *map(_contract, CONTRACTS), mode_winners,
 )
 QUERIES = {f.__name__: f for f in _ALL}
