@@ -42,13 +42,13 @@ def model_score(model: Callable[[], Callable[[list[tuple[str, str]]], list[float
 
     held: dict = {}
 
-    @F.pandas_udf("double")
-    def predict(q: pd.Series, t: pd.Series) -> pd.Series:
+    def predict(q, t):
         if "m" not in held:
             held["m"] = model()
         return pd.Series([float(x) for x in held["m"](list(zip(q, t, strict=True)))])
 
-    return predict(F.col(query), F.col(text))
+    predict.__annotations__ = {"q": pd.Series, "t": pd.Series, "return": pd.Series}
+    return F.pandas_udf(predict, "double")(F.col(query), F.col(text))
 
 
 def lexical_score(query: Column, text: Column) -> Column:
