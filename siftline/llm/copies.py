@@ -32,8 +32,8 @@ LETTERS = "etanrsil"
 
 
 def stripped(text: Column) -> Column:
-    """The letters, digits and other characters that count, in one letter case (as case folding: ß is ss)."""
-    return F.lower(F.upper(F.regexp_replace(text, FORMATTING, "")))
+    """The letters, digits and other characters that count, in one letter case (as case folding: ß is ss, ς is σ)."""
+    return F.translate(F.replace(F.lower(F.regexp_replace(text, FORMATTING, "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def part_key(text: Column, may_be_fields: Column) -> Column:
@@ -57,7 +57,8 @@ def members(records: DataFrame) -> DataFrame:
     spread = classes.select("invariant", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     several = cheap.select("*", salt).join(spread, ["invariant", "_salt"], "left_semi")
     keys = F.array_sort(F.transform("parts", lambda p: part_key(p, F.col("may_be_fields"))))
-    return several.select("kind", "id", F.sha2(F.array_join(keys, "\u0000"), 256).alias("digest"))
+    ended = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("\u0000"))), "")
+    return several.select("kind", "id", F.sha2(ended, 256).alias("digest"))
 
 
 def copy_sets(known: DataFrame) -> DataFrame:

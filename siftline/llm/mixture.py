@@ -50,10 +50,10 @@ def needs(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> D
     most = F.col("size") * F.col("max_repeats")
     live = F.when(most > 0, F.col("target_share"))
     figures = both.agg(F.sum(live).alias("_live"), F.min(most / live).alias("_per_share"))
-    share = F.when(most > 0, F.col("target_share") / F.col("_live")).otherwise(0.0)
+    share = F.when(most > 0, F.col("target_share") / F.nullif(F.col("_live"), F.lit(0.0))).otherwise(0.0)
     size = F.lit(float(total)) if total is not None else F.col("_per_share") * F.col("_live")
     need = F.least(F.coalesce(share * size, F.lit(0.0)), most.cast("double"))
-    whole = F.when(F.col("size") > 0, F.floor(need / F.col("size") + 1e-12)).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.floor(need / F.nullif(F.col("size"), F.lit(0)) + 1e-12)).otherwise(0)
     return both.crossJoin(F.broadcast(figures)).select(  # one row of figures
         "source", "target_share", "max_repeats", "size", "documents", need.alias("need"), whole.cast("int").alias("whole"), F.greatest(need - whole * F.col("size"), F.lit(0.0)).alias("rest")
     )
@@ -117,5 +117,5 @@ def shares(docs: DataFrame, targets: DataFrame, total: float | None = None, key:
     whole = sums.agg(F.sum("tokens").alias("_all"))
     tokens = F.coalesce("tokens", F.lit(0))
     return all_sources.crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", F.coalesce(tokens / F.col("_all"), F.lit(0.0)).alias("actual_share"), tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("repeats", F.lit(0)).alias("repeats")
+        "source", "target_share", F.coalesce(tokens / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("actual_share"), tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("repeats", F.lit(0)).alias("repeats")
     )

@@ -156,6 +156,8 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> CentroidGraph:
     rows = vectors.where(F.xxhash64("key") <= F.lit(cut_at)).select("raw").limit(2 * sample).toPandas()  # about `sample` rows; the limit only guards the driver
     if not len(rows):
         rows = vectors.select("raw").limit(sample).toPandas()
+    if not len(rows):
+        return CentroidGraph(np.eye(1, DIMENSIONS, dtype=np.float32))
     parts = int(min(LISTS, max(1, n // LIST_ROWS), max(1, len(rows) // 4)))
     return CentroidGraph(split_evenly(_unit(list(rows["raw"])), parts, np.random.default_rng(11)))
 

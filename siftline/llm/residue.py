@@ -51,11 +51,11 @@ PLACEHOLDER = re.compile(
             rf"\*\|{_NAME}\|\*",
             r"&[A-Z][A-Z_]{2,};|&[a-z]+_[a-z_]+;",
             r"(?<![\w$])\$[^\W\d]\w{2,}\$(?![\w$])",
-            rf"\[\[\s*(?:{_FILL})\b[^\]|]{{0,60}}\]\]",
+            rf"\[\[\s*(?i:{_FILL})\b[^\]|]{{0,60}}\]\]",
             r"\[\[[A-Z][A-Z_]*_[A-Z_]+\]\]|\[\[[a-z]+(?:_[a-z]+)*\]\]",
-            rf"\[\s*(?:{_FILL})\b:?[^\]\[]{{1,60}}\]",
-            rf"\[[^\]\[]{{1,60}}\s(?:{_FILL}|here|ici|aquí)\s*\]",
-            r"<[^<>\n]{1,60} (?:goes here|here|ici|aquí|hier)>",
+            rf"\[\s*(?i:{_FILL})\b:?[^\]\[]{{1,60}}\]",
+            rf"\[[^\]\[]{{1,60}}\s(?i:{_FILL}|here|ici|aquí)\s*\]",
+            r"<[^<>\n]{1,60} (?i:goes here|here|ici|aquí|hier)>",
             r"_{3,}\s*\([^)\n]{2,40}\)",
         )
     )
