@@ -33,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a table that is expected to be small is sent to every executor.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The table with a broadcast hint if a count shows that it is small; beyond that it is joined as any other, AQE splitting hot keys."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
