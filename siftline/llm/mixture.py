@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftline.llm.encode import count_tokens
-from siftline.plans.shared import cut
+from siftline.plans.shared import cut, small
 
 #: Bits of the hash that one histogram takes, and how many histograms there are at most.
 BITS, LEVELS = 12, 5
@@ -37,7 +37,7 @@ def place(*key: Column) -> Column:
 
 def sized(docs: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
     """``source, place, tokens`` of the documents whose source has a target."""
-    usable = targets.where("target_share > 0").select("source").distinct()
+    usable = small(targets.where("target_share > 0").select("source").distinct())
     mine = docs.where(F.col("source").isNotNull()).join(usable, "source", "left_semi")
     return count_tokens(mine.select("source", place(F.col(f"`{key}`")).alias("place"), "text"), ["source", "place"])
 
@@ -61,13 +61,13 @@ def needs(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> D
 
 def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``source, threshold``: documents at a place under it are taken once more."""
-    edge = wanted.select("source", "rest", F.lit(0).cast("bigint").alias("low"))
+    edge = small(wanted.select("source", "rest", F.lit(0).cast("bigint").alias("low")))
     rows = sizes
     for level in range(LEVELS):
         shift = 60 - BITS * (level + 1)
         width = 1 << shift
         bucket = F.shiftright("place", shift)
-        inside = rows.join(edge.select("source", "low"), "source").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(width << BITS)))
+        inside = rows.join(small(edge.select("source", "low")), "source").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(width << BITS)))
         histogram = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
         w = W.partitionBy("source").orderBy("bucket")  # at most 2^BITS rows for each source
         summed = histogram.withColumn("upto", F.sum("tokens").over(w)).join(edge.select("source", "rest"), "source")
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, key: s
     """The table of sources with whole repeats and threshold, and the sizes it rests on."""
     sizes = cut(sized(docs, targets, key))
     wanted = cut(needs(sizes, targets, total))
-    return wanted.join(thresholds(sizes, wanted), "source"), sizes
+    return small(cut(wanted.join(thresholds(sizes, wanted), "source"))), sizes
 
 
 def _copies() -> Column:
