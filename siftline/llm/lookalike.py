@@ -152,6 +152,8 @@ class Rewriter:
         for a, b in anywhere.items():
             self.automaton.add_word(a, (len(a), b))
         self.automaton.make_automaton()
+        #: Every pattern holds one of these: it is one of them, or ends in an accent.
+        self.odd = {a[-1] for a in anywhere}
         self.latin = re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 
     def _word(self, match: re.Match) -> str:
@@ -161,11 +163,11 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
-        parts, at = [], 0
-        for end, (length, new) in self.automaton.iter_long(text):
-            parts += (text[at : end - length + 1], new)
-            at = end + 1
-        if parts:
+        if not self.odd.isdisjoint(text):
+            parts, at = [], 0
+            for end, (length, new) in self.automaton.iter_long(text):
+                parts += (text[at : end - length + 1], new)
+                at = end + 1
             text = "".join(parts) + text[at:]
         if ACCENT.search(text):  # accents that no single composed letter holds, in any order
             text = unicodedata.normalize("NFC", text)
