@@ -148,7 +148,13 @@ def is_whole_residue(lines: list[str]) -> bool:
     return all(is_message(x) for x in sentences) or len(words) <= 60 and is_message(text)
 
 
+#: Every placeholder has one of these.
+MARKS = set("{[<%@_*&$")
+
+
 def has_placeholder(text: str) -> bool:
+    if MARKS.isdisjoint(text):
+        return False
     plain = QUOTED.sub(" ", text)
     if PLACEHOLDER.search(plain):
         return True
@@ -189,11 +195,19 @@ def simhash(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(a), bitorder="little").tobytes(), "little", signed=True)
 
 
-SCREENED = "doc_id bigint, label string, body string, simhash bigint, shingles array<bigint>"
+def _words(text: str, title: str | None) -> tuple[str, list[str], list[str]]:
+    """The text in one form, its body's lines and their masked words."""
+    text, title = _plain()(text), title if isinstance(title, str) else None
+    lines = body_lines(text, title)
+    return text, lines, masked(lines, title)
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "title")
 
 
 def screen(docs: DataFrame) -> DataFrame:
-    """Of each text its trusted label, if any, and its body's key, SimHash and shingles."""
+    """Of each text its trusted label, if any, and its body's key and SimHash: a few bytes, whatever its length."""
 
     def run(batches):
         import hashlib
@@ -204,36 +218,50 @@ def screen(docs: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), 500):
                 out = []
                 for name, text, title in pdf.iloc[at : at + 500][["doc_id", "text", "title"]].itertuples(index=False):
-                    text, title = _plain()(text), title if isinstance(title, str) else None
-                    lines = body_lines(text, title)
+                    text, lines, words = _words(text, title)
                     label = "placeholder" if has_placeholder(text) else "whole" if is_whole_residue(lines) else None
-                    words = masked(lines, title)
                     if words:
-                        hashes = shingle_hashes(words)
-                        signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
-                        out.append((name, label, hashlib.md5(" ".join(words).encode()).hexdigest(), simhash(hashes), signed))
+                        out.append((name, label, hashlib.md5(" ".join(words).encode()).hexdigest(), simhash(shingle_hashes(words))))
                     else:
-                        out.append((name, label, None, None, None))
-                yield pd.DataFrame(out, columns=["doc_id", "label", "body", "simhash", "shingles"]).astype({"simhash": "Int64"})
+                        out.append((name, label, None, None))
+                yield pd.DataFrame(out, columns=["doc_id", "label", "body", "simhash"]).astype({"simhash": "Int64"})
+
+    return _usable(docs).mapInPandas(run, "doc_id bigint, label string, body string, simhash bigint")
+
+
+def with_shingles(bodies: DataFrame, docs: DataFrame) -> DataFrame:
+    """``body, shingles`` of bodies (``body, doc_id`` of one document that has it), made from its text again."""
 
-    usable = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "title")
-    return usable.mapInPandas(run, SCREENED)
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for body, text, title in pdf[["body", "text", "title"]].itertuples(index=False):
+                rows.append((body, [h - (1 << 64) if h >> 63 else h for h in shingle_hashes(_words(text, title)[2])]))
+            yield pd.DataFrame(rows, columns=["body", "shingles"])
+
+    return _usable(docs).join(bodies.select("body", "doc_id"), "doc_id").select("body", "text", "title").mapInPandas(run, "body string, shingles array<bigint>")
 
 
 def _tables(bodies: DataFrame) -> DataFrame:
     """A row for each body and table: the table's number with the value of its blocks."""
     edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
     block = [F.shiftrightunsigned("simhash", edges[i]).bitwiseAND((1 << edges[i + 1] - edges[i]) - 1) for i in range(BLOCKS)]
-    keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(*[block[i] for i in chosen]).alias("value")) for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS // 2))]
-    return bodies.select("body", "simhash", F.inline(F.array(*keys)))
+    keys = [F.xxhash64(F.lit(t), *[block[i] for i in chosen]) for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS // 2))]
+    return bodies.select("body", "simhash", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(some: DataFrame, others: DataFrame) -> DataFrame:
-    """``a, b`` for verified near-duplicates between two sets of bodies (``body, simhash, shingles``)."""
+def candidates(some: DataFrame, others: DataFrame) -> DataFrame:
+    """``a, b``: bodies that meet in a table of SimHash blocks and are near by Hamming distance."""
     a, b = _tables(some).alias("a"), _tables(others).alias("b")
-    near = (F.col("a.table") == F.col("b.table")) & (F.col("a.value") == F.col("b.value")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= HAMMING) & (F.col("a.body") != F.col("b.body"))
-    met = a.join(b, near).select(F.col("a.body").alias("a"), F.col("b.body").alias("b")).distinct()
-    full = met.join(some.select(F.col("body").alias("a"), F.col("shingles").alias("sa")), "a").join(others.select(F.col("body").alias("b"), F.col("shingles").alias("sb")), "b")
+    near = (F.col("a.key") == F.col("b.key")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= HAMMING) & (F.col("a.body") != F.col("b.body"))
+    return a.join(b, near).select(F.col("a.body").alias("a"), F.col("b.body").alias("b")).distinct()
+
+
+def verified(met: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Those pairs of bodies whose shingles (``body, shingles``) are similar enough."""
+    full = met.join(shingled.select(F.col("body").alias("a"), F.col("shingles").alias("sa")), "a").join(shingled.select(F.col("body").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return full.where(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -242,12 +270,16 @@ def residue(docs: DataFrame) -> DataFrame:
     """``doc_id, label``: ``placeholder``, ``whole`` or, of documents linked to those, ``linked``."""
     screened = cut(screen(docs))
     bodies = cut(
-        screened.where(F.col("body").isNotNull()).groupBy("body").agg(F.max(F.coalesce(F.col("label") == "whole", F.lit(False))).alias("trusted"), F.first("simhash").alias("simhash"), F.first("shingles").alias("shingles"))
+        screened.where(F.col("body").isNotNull()).groupBy("body").agg(F.max(F.coalesce(F.col("label") == "whole", F.lit(False))).alias("trusted"), F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"))
     )
-    fresh = bodies.where("trusted").select("body", "simhash", "shingles")
-    rest, labelled = bodies.where("NOT trusted").drop("trusted"), fresh.select("body")
+    fresh, rest = bodies.where("trusted").drop("trusted"), bodies.where("NOT trusted").drop("trusted")
+    labelled = fresh.select("body")
     while True:
-        found = cut(links(fresh, rest).select(F.col("b").alias("body")).distinct())
+        met = cut(candidates(fresh, rest))
+        if not met.head(1):
+            break
+        needed = bodies.join(met.select(F.explode(F.array("a", "b")).alias("body")).distinct(), "body", "left_semi")
+        found = cut(verified(met, cut(with_shingles(needed, docs))).select(F.col("b").alias("body")).distinct())
         if not found.head(1):
             break
         fresh = rest.join(found, "body", "left_semi")

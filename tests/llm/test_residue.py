@@ -65,18 +65,17 @@ def test_labels_spread_over_near_duplicates(spark):
     assert {r.doc_id for r in R.clean(spark.createDataFrame(docs, DOCS)).collect()} == {3, 4, 5, 6, 7, 8, 10}
 
 
-def body(name, words):
-    hashes = R.shingle_hashes(words)
-    return (name, R.simhash(hashes), [h - (1 << 64) if h >> 63 else h for h in hashes])
-
-
 def test_links_are_verified(spark):
-    words = [f"w{i}" for i in range(400)]
-    near, half = [*words[:398], "x", "y"], words[:200] + [f"z{i}" for i in range(200)]
-    kind = "body string, simhash bigint, shingles array<bigint>"
-    a = spark.createDataFrame([body("a", words)], kind)
-    b = spark.createDataFrame([body("near", near), body("half", half), body("far", [f"q{i}" for i in range(400)])], kind)
-    assert [(r.a, r.b) for r in R.links(a, b).collect()] == [("a", "near")]
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    texts = {"a": words, "near": [*words[:398], "x", "y"], "half": words[:200] + [f"zed{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]}
+    docs = spark.createDataFrame([(i, " ".join(w), None, None) for i, w in enumerate(texts.values())], DOCS)
+    names = dict(enumerate(texts))
+    bodies = R.screen(docs).select("body", "simhash", "doc_id")
+    key = {r.body: names[r.doc_id] for r in bodies.collect()}
+    met = {(key[r.a], key[r.b]) for r in R.candidates(bodies.where("doc_id = 0"), bodies.where("doc_id > 0")).collect()}
+    assert ("a", "near") in met
+    every = bodies.where("doc_id = 0").selectExpr("body a").crossJoin(bodies.where("doc_id > 0").selectExpr("body b"))
+    assert [(key[r.a], key[r.b]) for r in R.verified(every, R.with_shingles(bodies, docs)).collect()] == [("a", "near")]
 
 
 def test_propagation_through_a_chain(spark):
