@@ -65,9 +65,14 @@ def annotate(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     return found.withColumn("anns", final).drop("_a", "_p")
 
 
+def _inlined(annotated: DataFrame) -> DataFrame:
+    # an inner generator would have a filter on its whole array below it, which makes the annotations once more for each of them
+    return annotated.select("row_ordinal", F.inline_outer("anns")).where("idx IS NOT NULL")
+
+
 def candidates_of(annotated: DataFrame) -> DataFrame:
     """The annotations as rows."""
-    return annotated.select("row_ordinal", F.inline("anns")).drop("low").withColumnRenamed("idx", "candidate_idx").withColumnRenamed("ptype", "passage_type").withColumnRenamed("parent", "parent_candidate_idx")
+    return _inlined(annotated).drop("low").withColumnRenamed("idx", "candidate_idx").withColumnRenamed("ptype", "passage_type").withColumnRenamed("parent", "parent_candidate_idx")
 
 
 def compatible(role: Column, kind: Column, tokens: Column, next_kind: Column, next_tokens: Column) -> Column:
@@ -105,7 +110,7 @@ def pack(annotated: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
 def spans_of(packed: DataFrame) -> DataFrame:
     """The spans as rows: ``row_ordinal, span, members`` (usable ones only)."""
     numbers = F.when(F.array_max("spans") >= 0, F.sequence(F.lit(0), F.array_max("spans"))).otherwise(F.array().cast("array<int>"))
-    exploded = packed.select("*", F.explode(numbers).alias("span"))
+    exploded = packed.select("*", F.explode_outer(numbers).alias("span")).where("span IS NOT NULL")
     inside = F.filter(F.arrays_zip("anns", "spans"), lambda z: (z["spans"] == F.col("span")) & ~z["anns"]["role"].isin(*SKIPPED))
     return exploded.withColumn("members", F.transform(inside, lambda z: z["anns"])).drop("spans")
 
@@ -178,7 +183,7 @@ def chunk(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("part"), F.col("_text").alias("text")))
     keeps = (F.col("_tokens") >= config.hard_tokens) | T.is_fact(F.col("_text"))
     pieces = F.when(F.col("_tokens") > config.max_tokens, F.filter(parts, lambda p: T.token_count(p["text"]) >= config.hard_tokens)).when(keeps, whole)
-    made = spans.select("*", F.inline(pieces)).withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), config))
+    made = spans.select("*", F.inline_outer(pieces)).where("part IS NOT NULL").withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), config))
     start, end = F.array_min(F.transform("members", lambda m: m["idx"])), F.array_max(F.transform("members", lambda m: m["idx"]))
     tokens = T.token_count(F.col("text"))
     kind = F.when(F.col("part") > 0, F.concat(F.lit("split_"), F.col("part").cast("string"))).when(tokens < config.soft_tokens, "short_fact").otherwise(chunk_kind(F.col("members")))
@@ -211,7 +216,7 @@ def chunk(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
 def counters(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One row of figures of a chunk build, with the roles as a map. All are sums, so one pass and a small shuffle."""
     annotated = annotate(rows, config)
-    a = annotated.select("row_ordinal", F.inline("anns"))
+    a = _inlined(annotated)
     roles = a.groupBy("role").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("role_counts"))
     figures = a.agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("tokens") <= config.soft_tokens).alias("tiny_candidates"),

@@ -45,7 +45,7 @@ def _made(df: DataFrame, strategy: str, members: Column | None, kind: str, start
 
 
 def _singles(rows: DataFrame, strategy: str, kind: str, keep: Column | None = None) -> DataFrame:
-    each = rows.select("*", F.posexplode("cands").alias("_i", "_c"))
+    each = rows.select("*", F.posexplode_outer("cands").alias("_i", "_c")).where("_c IS NOT NULL")
     if keep is not None:
         each = each.where(keep)
     c = F.col("_c")
@@ -73,7 +73,7 @@ def parent_dedup(rows: DataFrame) -> DataFrame:
 def _spans(rows: DataFrame, strategy: str, kind: str) -> DataFrame:
     """The spans (``_s``: the number of each candidate's span, -1 for none) as chunks."""
     numbers = F.when(F.array_max("_s") >= 0, F.sequence(F.lit(0), F.array_max("_s"))).otherwise(F.array().cast("array<int>"))
-    each = rows.select("*", F.explode(numbers).alias("_i"))
+    each = rows.select("*", F.explode_outer(numbers).alias("_i")).where("_i IS NOT NULL")
     members = F.transform(F.filter(F.arrays_zip("cands", "_s"), lambda z: z["_s"] == F.col("_i")), lambda z: z["cands"])
     each = each.withColumn("_m", members)
     idx = F.transform("_m", lambda c: c["idx"])
@@ -177,22 +177,22 @@ QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p
 
 def dataset_profile(rows: DataFrame) -> DataFrame:
     """One row of figures of the study's rows."""
-    c = rows.select("row_ordinal", F.inline("cands"))
+    c = rows.select("row_ordinal", F.inline_outer("cands")).where("idx IS NOT NULL")
     per_row = rows.agg(F.count(F.lit(1)).alias("sample_rows"), F.coalesce(F.sum(F.size("cands")), F.lit(0)).alias("total_candidates"), F.coalesce(F.round(F.avg(F.size("cands")), 4), F.lit(0.0)).alias("avg_candidates"), F.coalesce(F.median(F.size("cands")), F.lit(0.0)).alias("median_candidates"))
     short = c.agg(*[F.count_if(F.col("tokens") <= n).alias(f"short_{n}") for n in (3, 5, 10, 20)])
     quantiles = value_at(c, "tokens", QUANTILES)
-    gold = rows.select(F.explode(F.transform("gold", lambda g: F.get(F.col("cands"), g)["tokens"])).alias("tokens"))
+    gold = rows.select(F.explode_outer(F.transform("gold", lambda g: F.get(F.col("cands"), g)["tokens"])).alias("tokens")).where("tokens IS NOT NULL")
     gold_figures = gold.agg(F.count(F.lit(1)).alias("gold_count"), F.coalesce(F.round(F.avg("tokens"), 4), F.lit(0.0)).alias("gold_token_avg"), F.coalesce(F.median("tokens"), F.lit(0.0)).alias("gold_token_median"))
     return per_row.crossJoin(short).crossJoin(quantiles).crossJoin(gold_figures).crossJoin(nested_ratio(rows))  # one row each
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.inline("cands")).groupBy(F.coalesce("ptype", F.lit("<missing>")).alias("passage_type")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.inline_outer("cands")).where("idx IS NOT NULL").groupBy(F.coalesce("ptype", F.lit("<missing>")).alias("passage_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def nested_ratio(rows: DataFrame) -> DataFrame:
     """Of candidates over 80 tokens the share with a short one inside them among the next 24."""
-    each = rows.select("cands", F.posexplode("cands").alias("i", "c")).where(F.col("c.tokens") > 80)
+    each = rows.select("cands", F.posexplode_outer("cands").alias("i", "c")).where(F.col("c.tokens") > 80)
     child = F.exists(F.slice("cands", F.col("i") + 2, 24), lambda x: (x["tokens"] <= 20) & (F.length(x["low"]) > 5) & F.contains(F.col("c.low"), x["low"]))
     return each.agg(F.coalesce(F.round(F.avg(child.cast("double")), 4), F.lit(0.0)).alias("nearby_nested_parent_ratio"))
 

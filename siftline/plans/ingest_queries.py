@@ -127,7 +127,7 @@ def role_histogram(spark, d):
 def span_packing(spark, d):
     packed = chunking.pack(chunking.annotate(_rows(spark, d)))
     z = F.transform(F.arrays_zip("anns", "spans"), lambda x: F.struct(x["anns"]["idx"].alias("candidate_idx"), x["spans"].alias("span")))
-    return packed.select("row_ordinal", F.inline(z))
+    return packed.select("row_ordinal", F.inline_outer(z)).where("candidate_idx IS NOT NULL")
 
 
 def sentence_packing(spark, d):

@@ -9,6 +9,7 @@ from siftline.functions import ids
 from siftline.functions import text as T
 from siftline.operators import strategies
 from siftline.plans import sql as S
+from siftline.plans.shared import cut
 from siftline.sources.tables import table
 
 K = 10
@@ -35,14 +36,20 @@ def candidate_type_counts(spark, d):
     return strategies.type_counts(_study(spark, d))
 
 
+def _study_once(spark, d):
+    """The study's rows and all chunks, made once: every figure reads them again."""
+    rows = cut(_study(spark, d))
+    return rows, cut(strategies.build_all(rows))
+
+
 def strategy_profile(spark, d):
-    rows = _study(spark, d)
-    return strategies.strategy_profile(strategies.build_all(rows), rows)
+    rows, chunks = _study_once(spark, d)
+    return strategies.strategy_profile(chunks, rows)
 
 
 def bm25_proxy(spark, d):
-    rows = _study(spark, d)
-    hits = strategies.proxy_hits(strategies.study_queries(rows), strategies.build_all(rows), rows, K)
+    rows, chunks = _study_once(spark, d)
+    hits = strategies.proxy_hits(strategies.study_queries(rows), chunks, rows, K)
     m = strategies.proxy_metrics(hits, K)
     return m.select("strategy", "query_count", *[F.round(c, 6).alias(c) for c in m.columns if c not in ("strategy", "query_count")])
 
