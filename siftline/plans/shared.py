@@ -11,6 +11,30 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_DIR: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per context, so that their Python workers can import it wherever the driver found it."""
+    import io
+    import os
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_siftline_shipped", False):
+        return
+    context._siftline_shipped = True
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith((".py", ".npz")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("siftline", os.path.relpath(path, root)))
+    file = os.path.join(tempfile.mkdtemp(prefix="siftline-code-"), "siftline.zip")  # the driver's own; Spark serves it to executors
+    with open(file, "wb") as f:
+        f.write(data.getvalue())
+    context.addPyFile(file)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     conf = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
