@@ -13,7 +13,9 @@ their position; blank lines keep their number. A missing type is a tag of its ow
 
 from __future__ import annotations
 
+import io
 import os
+import pkgutil
 import re
 from functools import lru_cache
 from zlib import crc32
@@ -152,7 +154,10 @@ class Labeller:
 
 @lru_cache(2)
 def labeller(path: str = WEIGHTS) -> Labeller:
-    with np.load(path) as f:
+    source = path
+    if path == WEIGHTS and not os.path.exists(path):  # the package is imported from an archive
+        source = io.BytesIO(pkgutil.get_data("siftline.llm", os.path.basename(path)))
+    with np.load(source) as f:
         return Labeller(dict(f))
 
 
@@ -162,7 +167,7 @@ def _pages(pdf):
     return [Page(listed(c) or [], listed(t), s if isinstance(s, str) else None) for c, t, s in zip(pdf["candidates"], pdf["passage_types"], titles, strict=True)]
 
 
-def chrome_lines(rows: DataFrame, weights: str = WEIGHTS) -> DataFrame:
+def chrome_lines(rows: DataFrame, weights: str | None = None) -> DataFrame:
     """``id, cand_pos, line_no``: lines of candidates that are not main body."""
 
     def run(batches):
@@ -173,7 +178,7 @@ def chrome_lines(rows: DataFrame, weights: str = WEIGHTS) -> DataFrame:
                 part = pdf.iloc[at : at + 500]
                 pages = _pages(part)
                 found = []
-                for name, page, chance in zip(part["id"], pages, labeller(weights).scores(pages), strict=True):
+                for name, page, chance in zip(part["id"], pages, labeller(weights or WEIGHTS).scores(pages), strict=True):
                     found += [(name, c, i) for (c, i), fixed, p in zip(page.at, page.fixed, chance, strict=True) if fixed or p >= 0.5]
                 yield pd.DataFrame(found, columns=["id", "cand_pos", "line_no"]).astype({"id": "object", "cand_pos": "int64", "line_no": "int64"})
 
@@ -181,7 +186,7 @@ def chrome_lines(rows: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     return usable.mapInPandas(run, "id string, cand_pos bigint, line_no bigint")
 
 
-def main_body(rows: DataFrame, weights: str = WEIGHTS) -> DataFrame:
+def main_body(rows: DataFrame, weights: str | None = None) -> DataFrame:
     """``id, cand_pos, text``: every candidate with only its lines of main body; those without any are left out."""
 
     def run(batches):
@@ -191,7 +196,7 @@ def main_body(rows: DataFrame, weights: str = WEIGHTS) -> DataFrame:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
                 pages, kept = _pages(part), []
-                for name, candidates, page, chance in zip(part["id"], part["candidates"], pages, labeller(weights).scores(pages), strict=True):
+                for name, candidates, page, chance in zip(part["id"], part["candidates"], pages, labeller(weights or WEIGHTS).scores(pages), strict=True):
                     bodies: dict[int, list[str]] = {}
                     for (c, i), fixed, p in zip(page.at, page.fixed, chance, strict=True):
                         if not fixed and p < 0.5:
