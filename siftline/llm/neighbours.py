@@ -26,8 +26,8 @@ from pyspark.sql import Window as W
 from siftline.plans.shared import cut
 
 DIMENSIONS = 64
-SAMPLE, LISTS, LIST_ROWS = 60_000, 16_384, 128
-POST, PROBE, REPLICAS, PROBES = 0.20, 0.20, 6, 8
+SAMPLE, LISTS, LIST_ROWS = 60_000, 16_384, 192
+POST, PROBE, REPLICAS, PROBES = 0.25, 0.30, 8, 12
 DEGREE, BEAM = 16, 24
 
 
