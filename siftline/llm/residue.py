@@ -6,7 +6,9 @@
    ``whole``: nothing is left of the body without sentences of error, refusal and script notices and of filler.
 2. Bodies that are equal after masking are one. The SimHash of each is cut into ``BLOCKS`` blocks, and every choice of half of
    them is a table partitioned by their value; bodies of one value in one table whose Hamming distance is at most
-   ``HAMMING`` are compared by the Jaccard similarity of their five-word shingles, at least ``SIMILAR``.
+   ``HAMMING`` are candidates. The tables lose most pairs that differ in more than a few bits, so bodies that share one of the
+   smallest shingles, which all similar enough pairs do, are candidates too. All are compared by the Jaccard similarity of
+   their five-word shingles, at least ``SIMILAR``: no link is lost.
 3. The label ``whole`` spreads over these links through connected components, round by round from the trusted bodies, until a
    round adds none; components without a trusted body are never built. Placeholders label only their own document.
 
@@ -16,6 +18,7 @@ nulls in other columns don't matter; empty tables give an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from itertools import combinations
@@ -184,6 +187,11 @@ def shingle_hashes(words: list[str]) -> list[int]:
     return list({xxhash.xxh3_64_intdigest(g) for g in grams})
 
 
+def prefix(hashes: list[int]) -> list[int]:
+    """The smallest hashes, in order, as signed numbers: two sets of similarity ``SIMILAR`` share at least one of these."""
+    return sorted(h - (1 << 64) if h >> 63 else h for h in hashes)[: len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1]
+
+
 def simhash(hashes: list[int]) -> int:
     """Of each bit whether most of the hashes have it."""
     import numpy as np
@@ -207,7 +215,7 @@ def _usable(docs: DataFrame) -> DataFrame:
 
 
 def screen(docs: DataFrame) -> DataFrame:
-    """Of each text its trusted label, if any, and its body's key and SimHash: a few bytes, whatever its length."""
+    """Of each text its trusted label, if any, and its body's key, SimHash, number of shingles and the smallest fifth of them."""
 
     def run(batches):
         import hashlib
@@ -221,12 +229,13 @@ def screen(docs: DataFrame) -> DataFrame:
                     text, lines, words = _words(text, title)
                     label = "placeholder" if has_placeholder(text) else "whole" if is_whole_residue(lines) else None
                     if words:
-                        out.append((name, label, hashlib.md5(" ".join(words).encode()).hexdigest(), simhash(shingle_hashes(words))))
+                        hashes = shingle_hashes(words)
+                        out.append((name, label, hashlib.md5(" ".join(words).encode()).hexdigest(), simhash(hashes), len(hashes), prefix(hashes)))
                     else:
-                        out.append((name, label, None, None))
-                yield pd.DataFrame(out, columns=["doc_id", "label", "body", "simhash"]).astype({"simhash": "Int64"})
+                        out.append((name, label, None, None, None, None))
+                yield pd.DataFrame(out, columns=["doc_id", "label", "body", "simhash", "shingled", "prefix"]).astype({"simhash": "Int64", "shingled": "Int64"})
 
-    return _usable(docs).mapInPandas(run, "doc_id bigint, label string, body string, simhash bigint")
+    return _usable(docs).mapInPandas(run, "doc_id bigint, label string, body string, simhash bigint, shingled bigint, prefix array<bigint>")
 
 
 def with_shingles(bodies: DataFrame, docs: DataFrame) -> DataFrame:
@@ -259,6 +268,17 @@ def candidates(some: DataFrame, others: DataFrame) -> DataFrame:
     return a.join(b, near).select(F.col("a.body").alias("a"), F.col("b.body").alias("b")).distinct()
 
 
+def sharing(some: DataFrame, others: DataFrame) -> DataFrame:
+    """``a, b``: bodies that share a shingle of their prefixes and can be similar enough by their sizes and its places; every similar pair is among them."""
+    a, b = (x.select(F.col("doc_id").alias(f"{n}_id"), F.col("shingled").alias(f"{n}_size"), F.posexplode("prefix").alias(f"{n}_at", "shingle")) for x, n in ((some, "a"), (others, "b")))
+    sizes = (F.col("a_size") >= SIMILAR * F.col("b_size") - 1e-6) & (F.col("b_size") >= SIMILAR * F.col("a_size") - 1e-6)
+    # from the first shingle that both have, no more can be common than is left of either
+    most = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    places = most * (1 + SIMILAR) >= SIMILAR * (F.col("a_size") + F.col("b_size")) - 1e-6
+    met = a.join(b, "shingle").where(sizes & places & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id").distinct()
+    return met.join(some.select(F.col("doc_id").alias("a_id"), F.col("body").alias("a")), "a_id").join(others.select(F.col("doc_id").alias("b_id"), F.col("body").alias("b")), "b_id").select("a", "b")
+
+
 def verified(met: DataFrame, shingled: DataFrame) -> DataFrame:
     """Those pairs of bodies whose shingles (``body, shingles``) are similar enough."""
     full = met.join(shingled.select(F.col("body").alias("a"), F.col("shingles").alias("sa")), "a").join(shingled.select(F.col("body").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -270,12 +290,14 @@ def residue(docs: DataFrame) -> DataFrame:
     """``doc_id, label``: ``placeholder``, ``whole`` or, of documents linked to those, ``linked``."""
     screened = cut(screen(docs))
     bodies = cut(
-        screened.where(F.col("body").isNotNull()).groupBy("body").agg(F.max(F.coalesce(F.col("label") == "whole", F.lit(False))).alias("trusted"), F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"))
+        screened.where(F.col("body").isNotNull()).groupBy("body").agg(
+            F.max(F.coalesce(F.col("label") == "whole", F.lit(False))).alias("trusted"), F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.min("shingled").alias("shingled"), F.first("prefix").alias("prefix")
+        )
     )
     fresh, rest = bodies.where("trusted").drop("trusted"), bodies.where("NOT trusted").drop("trusted")
     labelled = fresh.select("body")
     while True:
-        met = cut(candidates(fresh, rest))
+        met = cut(candidates(fresh, rest).union(sharing(fresh, rest)).distinct())
         if not met.head(1):
             break
         needed = bodies.join(met.select(F.explode(F.array("a", "b")).alias("body")).distinct(), "body", "left_semi")

@@ -92,3 +92,45 @@ def test_propagation_through_a_chain(spark):
 
 def test_empty_table(spark):
     assert R.residue(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def filler(rng, size=200):
+    """A text of which just enough is Latin filler, and one that has four words less of it and shares 176 of 216 shingles."""
+    latin = sorted(R.LATIN)
+    other = ["".join(rng.choice(list("bcdfghkz"), 9)) for _ in range(size // 5 + 4)]
+    words = [str(w) for w in rng.choice(latin, size)]
+    for i, at in enumerate(rng.permutation(size)[: size // 5]):
+        words[at] = other[i]
+    near = list(words)
+    for i, at in enumerate((20, 60, 100, 140)):
+        at = next(j for j in range(at, size) if near[j] in R.LATIN)
+        near[at] = other[size // 5 + i]
+    return " ".join(words), " ".join(near)
+
+
+def test_every_link_of_the_least_similarity_is_found(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [filler(rng) for _ in range(40)]
+    assert all(R.is_whole_residue([a]) and not R.is_whole_residue([b]) for a, b in texts)
+    docs = spark.createDataFrame([(2 * i + j, t, None, None) for i, pair in enumerate(texts) for j, t in enumerate(pair)], DOCS)
+    got = {r.doc_id: r.label for r in R.residue(docs).collect()}
+    assert got == {2 * i + j: ("whole", "linked")[j] for i in range(40) for j in range(2)}
+
+
+def test_prefix_join_meets_what_brute_force_finds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = {}
+    for i in range(0, 400, 2):
+        n = int(rng.integers(1, 80))
+        a = [int(x) for x in rng.integers(0, 2**64, n, dtype=np.uint64)]
+        drop, add = rng.integers(0, n // 6 + 1), rng.integers(0, n // 6 + 1)
+        sets[i], sets[i + 1] = set(a), set(a[drop:]) | {int(x) for x in rng.integers(0, 2**64, add, dtype=np.uint64)}
+    rows = [(i, str(i), len(s), R.prefix(list(s))) for i, s in sets.items() if s]
+    df = spark.createDataFrame(rows, "doc_id bigint, body string, shingled bigint, prefix array<bigint>")
+    met = {(r.a, r.b) for r in R.sharing(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")).collect()}
+    want = {(str(i), str(j)) for i in sets if i % 2 == 0 for j in sets if j % 2 and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 50 and want <= met
