@@ -216,10 +216,13 @@ def _best_of_list(k: int, least: float):
                 best = np.argpartition(-near, m - 1, axis=1)[:, :m]
                 i, j = np.nonzero(np.take_along_axis(near, best, 1) >= least - 1e-4)
                 j = best[i, j]
-                exact = np.einsum("nd,nd->n", q[i].astype(np.float64), p[j].astype(np.float64))
-                out_q.append(own[i])
-                out_p.append(names[j])
-                out_s.append(exact)
+                exact = np.maximum(np.einsum("nd,nd->n", q[i].astype(np.float64), p[j].astype(np.float64)), -1.0)
+                order = np.lexsort((j, -exact, i))  # the list's names are sorted
+                i, j, exact = i[order], j[order], exact[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out_q.append(own[i[top]])
+                out_p.append(names[j[top]])
+                out_s.append(exact[top])
         if not out_q:
             return pd.DataFrame({"key": [], "other": [], "similarity": []})
         return pd.DataFrame({"key": np.concatenate(out_q), "other": np.concatenate(out_p), "similarity": np.concatenate(out_s)})
@@ -231,13 +234,14 @@ def nearest_vectors(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """``key, other, similarity``: of every different vector the k most similar others of at least ``least``."""
     graph = fit(vectors)
     found = postings(vectors, graph).groupBy("list").applyInPandas(_best_of_list(k, least), "key string, other string, similarity double")
-    once = found.groupBy("key", "other").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
+    # one shuffle by key serves the grouping and the ranking
+    once = found.repartition("key").groupBy("key", "other").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def neighbours(points: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
-    """``point_id, other_id, similarity``: of every point the k most similar other points of at least ``least``."""
+    """``point_id, other_id, similarity``: of every point the k most similar other points of at least ``least``; -1 leaves none out."""
     members = cut(usable(points))
     classes = cut(distinct_vectors(members, k).withColumn("raw", _pack("dense")))
     near = nearest_vectors(classes.select("key", "raw"), k, least)

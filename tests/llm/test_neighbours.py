@@ -91,3 +91,22 @@ def test_parts_are_nearly_even():
     c = N.split_evenly(x, 32, np.random.default_rng(0))
     sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
     assert len(c) >= 28 and sizes.max() < 5 * sizes.mean()
+
+
+def test_query_gives_every_point_all_k_neighbours(spark, tmp_path):
+    from siftline.llm import queries
+
+    rng = np.random.default_rng(9)
+    x = np.vstack([clustered(1000), rng.standard_normal((200, 64))])  # the last are near nothing
+    names = np.array([f"p{i:05}" for i in range(len(x))])
+    frame(spark, [(p, v, 1) for p, v in zip(names.tolist(), x)]).write.parquet(f"{tmp_path}/dense_points.parquet")
+    spark.createDataFrame([(p, "g", "t") for p in names.tolist()], "chunk_id string, group_id string, text string").write.parquet(f"{tmp_path}/index_chunks.parquet")
+    rows = queries.p3_neighbours(spark, str(tmp_path)).toPandas()
+    assert (rows.groupby("point_id").size().reindex(names, fill_value=0) == 5).all()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -np.inf)
+    fifth = dict(zip(names, np.sort(s, axis=1)[:, -5]))
+    right = rows.similarity >= rows.point_id.map(fifth) - 1e-5
+    far = rows.point_id.map(fifth) < 0.85
+    assert far.sum() > 1000 and right.mean() > 0.97 and right[far].mean() > 0.95
