@@ -140,22 +140,20 @@ def orphans(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return row_orphans(rows).unionByName(group_orphans(groups))
 
 
-def chunk_subtypes(groups: DataFrame) -> dict[str, DataFrame]:
-    """The chunks of the groups in typed tables: with context of their own, without, and with a parent candidate."""
+def chunk_subtypes(groups: DataFrame, nulls: bool = False) -> dict[str, DataFrame]:
+    """The chunks of the groups in typed tables: with context of their own, without, and with a parent candidate; if asked for, null elements too."""
     kind = groups.schema["chunks"].dataType.elementType
     chunks = child_table(once(groups.select("group_id", "chunks", "written_at"), "group_id", "written_at"), "group_id", "chunks")
-    base = [f.name for f in kind.fields if f.name not in ("context_idxs", "parent_candidate_idx", "context_token_count")]
+    base = [f.name for f in kind.fields if f.name not in ("context_idxs", "parent_candidate_idx")]
     plain = F.col("variant").rlike(r"context_idxs:[ne],")
     child = F.col("variant").contains("parent_candidate_idx:v")
     lost = F.col("variant") == "n"
-    return route(
-        chunks,
-        {
-            "plain": (plain & ~child & ~lost, base),
-            "contextual": (~plain & ~child & ~lost, [*base, "context_idxs", "context_token_count"]),
-            "child": (child & ~lost, [*base, "context_idxs", "context_token_count", "parent_candidate_idx"]),
-        },
-    )
+    subtypes = {
+        "plain": (plain & ~child & ~lost, base),
+        "contextual": (~plain & ~child & ~lost, [*base, "context_idxs"]),
+        "child": (child & ~lost, [*base, "context_idxs", "parent_candidate_idx"]),
+    }
+    return route(chunks, {**subtypes, "null": (lost, [])} if nulls else subtypes)
 
 
 def references(groups: DataFrame) -> DataFrame:

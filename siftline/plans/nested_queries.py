@@ -27,14 +27,26 @@ def p2_texts(spark, d):
     return nested.child_table(groups, "group_id", "texts").select("parent_id", "pos", "text_idx", "raw_idx", "passage_type", "text")
 
 
-def p2_chunks(spark, d):
-    """All subtype tables of the chunks again as one, columns that a subtype lacks being null."""
-    parts = nested.chunk_subtypes(table(spark, d, "index_chunk_groups"))
+def _together(parts):
+    """Subtype tables again as one, columns that a subtype lacks being null."""
     both = None
     for name, part in parts.items():
         part = part.withColumn("subtype", F.lit(name))
         both = part if both is None else both.unionByName(part, allowMissingColumns=True)
-    return both.select("parent_id", "pos", "subtype", "chunk_id", "start_candidate_idx", "end_candidate_idx", "chunk_kind", "token_count", "context_token_count", "parent_candidate_idx")
+    return both
+
+
+def p2_chunks(spark, d):
+    """The chunks that are not null as its SQL has them, without the context tokens of plain ones; p2_chunk_rows leaves nothing out."""
+    both = _together(nested.chunk_subtypes(table(spark, d, "index_chunk_groups")))
+    tokens = F.when(F.col("subtype") != "plain", F.col("context_token_count")).alias("context_token_count")
+    return both.select("parent_id", "pos", "subtype", "chunk_id", "start_candidate_idx", "end_candidate_idx", "chunk_kind", "token_count", tokens, "parent_candidate_idx")
+
+
+def p2_chunk_rows(spark, d):
+    """Every element of the chunks with its stored values and types, null elements too."""
+    both = _together(nested.chunk_subtypes(table(spark, d, "index_chunk_groups"), nulls=True))
+    return both.select("parent_id", "pos", "subtype", "chunk_id", "start_candidate_idx", "end_candidate_idx", "passage_types", "chunk_kind", "token_count", "context_token_count", "parent_candidate_idx")
 
 
 def p2_references(spark, d):
@@ -80,6 +92,11 @@ WITH {_LATEST}, k AS (SELECT group_id AS parent_id, unnest(range(len(chunks)))::
 SELECT parent_id, pos, CASE WHEN c.parent_candidate_idx IS NOT NULL THEN 'child' WHEN coalesce(len(c.context_idxs), 0) = 0 THEN 'plain' ELSE 'contextual' END AS subtype,
 c.chunk_id AS chunk_id, c.start_candidate_idx AS start_candidate_idx, c.end_candidate_idx AS end_candidate_idx, c.chunk_kind AS chunk_kind, c.token_count AS token_count,
 CASE WHEN coalesce(len(c.context_idxs), 0) > 0 OR c.parent_candidate_idx IS NOT NULL THEN c.context_token_count END AS context_token_count, c.parent_candidate_idx AS parent_candidate_idx FROM k WHERE c IS NOT NULL""",
+    "p2_chunk_rows": f"""
+WITH {_LATEST}, k AS (SELECT group_id AS parent_id, unnest(range(len(chunks)))::BIGINT AS pos, unnest(chunks) AS c FROM g)
+SELECT parent_id, pos, CASE WHEN c IS NULL THEN 'null' WHEN c.parent_candidate_idx IS NOT NULL THEN 'child' WHEN coalesce(len(c.context_idxs), 0) = 0 THEN 'plain' ELSE 'contextual' END AS subtype,
+c.chunk_id AS chunk_id, c.start_candidate_idx AS start_candidate_idx, c.end_candidate_idx AS end_candidate_idx, c.passage_types AS passage_types, c.chunk_kind AS chunk_kind, c.token_count AS token_count,
+c.context_token_count AS context_token_count, c.parent_candidate_idx AS parent_candidate_idx FROM k""",
     "p2_references": f"""
 WITH {_LATEST}, k AS (SELECT group_id, list_transform(texts, lambda t: t.text_idx) AS t, unnest(chunks) AS c, unnest(range(len(chunks)))::BIGINT AS pos FROM g),
 r AS (SELECT group_id, t, pos, 'text_idxs' AS list, unnest(range(len(c.text_idxs)))::BIGINT AS ref_pos, unnest(c.text_idxs) AS v FROM k
@@ -89,4 +106,4 @@ SELECT group_id AS parent_id, pos AS chunk_pos, list, ref_pos, v AS text_idx, co
 SELECT 'candidates=' || {_LIST_STATE.format(c="candidates")} || ';passage_types=' || {_LIST_STATE.format(c="passage_types")} AS variant, count(*) AS records
 FROM nq_sample_rows GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_candidates, p2_types, p2_texts, p2_chunks, p2_references, p2_variants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_candidates, p2_types, p2_texts, p2_chunks, p2_chunk_rows, p2_references, p2_variants)}

@@ -69,3 +69,12 @@ def test_child_names_that_clash(spark):
 def test_hot_key_is_combined_before_the_shuffle(spark):
     plan = nested.once(groups(spark), "group_id", "written_at")._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_chunk_rows_keep_every_stored_value(spark, tmp_path):
+    from siftline.plans import nested_queries as Q
+
+    groups(spark).write.parquet(f"{tmp_path}/index_chunk_groups.parquet")
+    got = {(r.parent_id, r.pos): (r.subtype, r.context_token_count, r.passage_types) for r in Q.p2_chunk_rows(spark, str(tmp_path)).collect()}
+    assert got == {("g1", 0): ("plain", 1, ["p", None]), ("g1", 1): ("null", None, None), ("g1", 2): ("child", 1, ["p", None]), ("g2", 0): ("contextual", 1, ["p", None])}
+    assert "context_token_count" in nested.chunk_subtypes(groups(spark))["plain"].columns
