@@ -136,6 +136,32 @@ def repeats(words: list[str]) -> bool:
     return any(len(words) >= 4 * n and all(w == words[i % n] for i, w in enumerate(words)) for n in range(1, 5))
 
 
+#: Lines of a Python traceback: its head, a frame, marks under a source line and the error at its end. Fixed values.
+TRACE_HEAD = re.compile(r"traceback \(most recent call last\):?|during handling of the above exception, another exception occurred:?|the above exception was the direct cause of the following exception:?", re.I)
+TRACE_FRAME = re.compile(r"file \".+\", line \d+(, in .+)?", re.I)
+TRACE_MARK = re.compile(r"[\^~][\^~ ]*|\[previous line repeated \d+ more times?\]", re.I)
+TRACE_END = re.compile(r"[\w.]*(error|exception|exit|interrupt|warning|stopiteration|timeout)(: .*)?", re.I)
+
+
+def without_tracebacks(lines: list[str]) -> list[str]:
+    """The lines without tracebacks, of any length: a head, frames, each with its source line, and the error."""
+    rest, i = [], 0
+    while i < len(lines):
+        at = i + 1 if TRACE_HEAD.fullmatch(lines[i]) else i
+        while at > i and at < len(lines) and TRACE_FRAME.fullmatch(lines[at]):
+            at += 1
+            if at < len(lines) and not any(p.fullmatch(lines[at]) for p in (TRACE_HEAD, TRACE_FRAME, TRACE_MARK, TRACE_END)):
+                at += 1
+            while at < len(lines) and TRACE_MARK.fullmatch(lines[at]):
+                at += 1
+        if at > i + 1 and at < len(lines) and TRACE_END.fullmatch(lines[at]):
+            at += 1
+        if at == i:
+            rest.append(lines[i])
+        i = max(at, i + 1)
+    return rest
+
+
 def is_whole_residue(lines: list[str]) -> bool:
     """Whether nothing but messages and filler is left."""
     text = "\n".join(lines)
@@ -147,7 +173,7 @@ def is_whole_residue(lines: list[str]) -> bool:
     if repeats(WORD.findall(text.lower())):
         return True
     text = REFERENCE.sub(r"\1\n", text)
-    sentences = [x for line in text.split("\n") for x in re.split(r"(?<=[.!?])\s+", line) if WORD.search(x)]
+    sentences = [x for line in REFERENCE.sub(r"\1\n", "\n".join(without_tracebacks(lines))).split("\n") for x in re.split(r"(?<=[.!?])\s+", line) if WORD.search(x)]
     return all(is_message(x) for x in sentences) or len(words) <= 60 and is_message(text)
 
 

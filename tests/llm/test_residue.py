@@ -134,3 +134,12 @@ def test_prefix_join_meets_what_brute_force_finds(spark):
     met = {(r.a, r.b) for r in R.sharing(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")).collect()}
     want = {(str(i), str(j)) for i in sets if i % 2 == 0 for j in sets if j % 2 and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert len(want) > 50 and want <= met
+
+
+def test_long_tracebacks():
+    frames = "".join(f'  File "/srv/app/part{i}.py", line {i + 3}, in step{i}\n    value = self.load(name, {i}) + other.find(key)\n    ^^^^^^^\n' for i in range(30))
+    page = f"Selholm\nTraceback (most recent call last):\n{frames}KeyError: 'a'\n\nDuring handling of the above exception, another exception occurred:\n\nTraceback (most recent call last):\n{frames}app.errors.LoadError: no such part\n"
+    assert R.is_whole_residue(R.body_lines(page, "Selholm"))
+    assert R.is_whole_residue(R.body_lines(page + "Please try again later.", "Selholm"))
+    assert not R.is_whole_residue(R.body_lines(page + ART, "Selholm"))
+    assert not R.is_whole_residue(R.body_lines(f"{ART}\n{page}", None))
