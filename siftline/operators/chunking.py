@@ -174,16 +174,23 @@ def _merge_tiny(chunks: DataFrame, config: EngineConfig) -> DataFrame:
     return merged.withColumns({"context_text": F.when(many, F.col("text")).otherwise(F.col("context_text")), "token_count": tokens, "context_token_count": F.when(many, tokens).otherwise(F.col("context_token_count"))}).drop("_isle", "_n")
 
 
-def chunk(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """All chunks of the rows."""
+def _cut(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    """The spans with ``pieces`` (part 0 is a whole span) and ``suppressed``, the number of pieces too small to be chunks."""
     spans = spans_of(pack(annotate(rows, config), config))
     joined_text = F.array_join(F.transform("members", lambda m: m["text"]), " ")
     spans = spans.withColumn("_text", joined_text).withColumn("_tokens", T.token_count(F.col("_text")))
     parts = F.transform(split_sentences(F.col("_text"), config.target_tokens, config.max_tokens), lambda t, i: F.struct((i + 1).alias("part"), t.alias("text")))
     whole = F.array(F.struct(F.lit(0).alias("part"), F.col("_text").alias("text")))
-    keeps = (F.col("_tokens") >= config.hard_tokens) | T.is_fact(F.col("_text"))
-    pieces = F.when(F.col("_tokens") > config.max_tokens, F.filter(parts, lambda p: T.token_count(p["text"]) >= config.hard_tokens)).when(keeps, whole)
-    made = spans.select("*", F.inline_outer(pieces)).where("part IS NOT NULL").withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), config))
+    keep = lambda p: (T.token_count(p["text"]) >= config.hard_tokens) | ((p["part"] == 0) & T.is_fact(p["text"]))
+    every = spans.withColumn("_every", F.when(F.col("_tokens") > config.max_tokens, parts).otherwise(whole))
+    kept = every.withColumn("pieces", F.filter("_every", keep))
+    return kept.withColumn("suppressed", F.size("_every") - F.size("pieces")).drop("_every", "_text", "_tokens")
+
+
+def chunk(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """All chunks of the rows."""
+    spans = _cut(rows, config)
+    made = spans.select("*", F.inline_outer("pieces")).where("part IS NOT NULL").withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), config))
     start, end = F.array_min(F.transform("members", lambda m: m["idx"])), F.array_max(F.transform("members", lambda m: m["idx"]))
     tokens = T.token_count(F.col("text"))
     kind = F.when(F.col("part") > 0, F.concat(F.lit("split_"), F.col("part").cast("string"))).when(tokens < config.soft_tokens, "short_fact").otherwise(chunk_kind(F.col("members")))
@@ -224,5 +231,6 @@ def counters(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     )
     made = chunk(rows, config)
     built = made.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("chunk_kind") == "short_fact").alias("short_facts"), F.count_if(F.col("context_text") != F.col("text")).alias("context_expanded"))
+    small = _cut(rows, config).agg(F.coalesce(F.sum("suppressed"), F.lit(0)).alias("tiny_suppressed"))
     total = rows.agg(F.count(F.lit(1)).alias("rows"))
-    return total.crossJoin(figures).crossJoin(built).crossJoin(roles)  # one row each
+    return total.crossJoin(figures).crossJoin(built).crossJoin(small).crossJoin(roles)  # one row each

@@ -8,6 +8,7 @@ from siftline.config import ANALYZERS
 from siftline.functions import ids
 from siftline.functions import text as T
 from siftline.operators import audit, chunking, ingest
+from siftline.plans import chunk_sql as C
 from siftline.plans import sql as S
 from siftline.sources.tables import table
 
@@ -146,7 +147,7 @@ def chunk_context(spark, d):
 
 def chunk_counters(spark, d):
     c = chunking.counters(_rows(spark, d))
-    return c.select("rows", "candidates", "tiny_candidates", "boilerplate", "duplicate_children", "chunks", "short_facts", "context_expanded", F.to_json("role_counts").alias("role_counts"))
+    return c.select("rows", "candidates", "tiny_candidates", "boilerplate", "duplicate_children", "chunks", "short_facts", "context_expanded", "tiny_suppressed", F.to_json("role_counts").alias("role_counts"))
 
 
 def continuity_pairs(spark, d):
@@ -174,19 +175,6 @@ k AS (SELECT group_id, texts, unnest(chunks) AS c FROM {g}), f AS (SELECT group_
   coalesce(array_to_string(list_filter(list_transform(c.text_idxs, lambda i: list_filter(texts, lambda t: t.text_idx = i)[1].text), lambda x: x IS NOT NULL), ' '), '') AS text,
   coalesce(array_to_string(list_filter(list_transform(c.context_idxs, lambda i: list_filter(texts, lambda t: t.text_idx = i)[1].text), lambda x: x IS NOT NULL), ' '), '') AS context_text,
   c.chunk_kind AS chunk_kind, c.token_count AS token_count FROM k WHERE c IS NOT NULL)"""
-_COMPAT = """(s.role IN ('header', 'intro') OR s.ptype IS NOT DISTINCT FROM a.ptype OR (s.ptype IN ('list', 'table') AND a.ptype IN ('list', 'table')) OR (s.tokens <= 30 AND a.tokens <= 30))"""
-#: The packing of candidates into spans, one position after another.
-PACKED = f"""{S.ANNOTATIONS},
-step AS (
-  SELECT row_ordinal, 0::BIGINT AS pos, -1 AS idx, false AS open, 0::BIGINT AS total, -1 AS span, '' AS role, NULL::VARCHAR AS ptype, 0::BIGINT AS tokens, -1 AS mark FROM (SELECT DISTINCT row_ordinal FROM ann)
-  UNION ALL
-  SELECT row_ordinal, pos, idx, goes OR NOT skip AS open, CASE WHEN goes THEN CASE WHEN skip THEN total ELSE total + n END WHEN skip THEN 0 ELSE n END,
-    CASE WHEN goes OR skip THEN span ELSE span + 1 END, role, ptype, n, CASE WHEN goes THEN span WHEN skip THEN -1 ELSE span + 1 END
-  FROM (SELECT s.row_ordinal, a.pos, a.idx, s.total, s.span, a.role, a.ptype, a.tokens AS n, a.role IN ('boilerplate', 'duplicate_child') AS skip,
-    s.open AND s.total < 60 AND (a.role IN ('boilerplate', 'duplicate_child') OR (coalesce({_COMPAT}, false) AND s.total + a.tokens <= 300)) AS goes
-    FROM step s JOIN ann a ON a.row_ordinal = s.row_ordinal AND a.pos = s.pos + 1)
-)"""
-
 ORACLES = {
     "normalize_text": f"SELECT chunk_id, {S.normalize('text')} AS normalized, {S.normalize('title')} AS title FROM index_chunks",
     "token_count": f"SELECT chunk_id, {S.token_count('text')} AS tokens, len({S.words('text')}) AS words FROM index_chunks",
@@ -209,7 +197,7 @@ SELECT record_kind, count(*) AS records, count(text) AS texts, sum(length(text))
     "candidate_roles": f"WITH {S.ANNOTATIONS} SELECT row_ordinal, idx AS candidate_idx, tokens, role, ptype AS passage_type FROM ann",
     "duplicate_children": f"WITH {S.ANNOTATIONS} SELECT row_ordinal, idx AS candidate_idx, parent AS parent_candidate_idx FROM ann WHERE role = 'duplicate_child'",
     "role_histogram": f"WITH {S.ANNOTATIONS} SELECT role, count(*) AS n FROM ann GROUP BY role",
-    "span_packing": f"WITH RECURSIVE {PACKED} SELECT row_ordinal, idx AS candidate_idx, mark AS span FROM step WHERE pos > 0",
+    "span_packing": f"WITH RECURSIVE {C.packed()} SELECT row_ordinal, idx AS candidate_idx, mark AS span FROM step WHERE pos > 0",
     "continuity_pairs": f"""WITH {_PASSAGES}, l AS (SELECT row_ordinal, candidate_idx, text, lead(candidate_idx) OVER w AS right_idx, lead(text) OVER w AS right_text FROM p WINDOW w AS (PARTITION BY row_ordinal ORDER BY candidate_idx))
 SELECT row_ordinal, candidate_idx AS left_idx, right_idx, (ends_with(text, ':') OR ({S.contains_any('lower(text)', T.INTRO_MARKERS)} AND ends_with(text, '.'))) AND (contains(right_text, chr(10)) OR len({S.words('right_text')}) BETWEEN 1 AND 16) AS likely FROM l WHERE right_idx IS NOT NULL""",
     "duplicate_text_groups": f"WITH {_PASSAGES} SELECT text, count(*) AS occurrences, count(DISTINCT row_ordinal) AS distinct_rows FROM p GROUP BY text HAVING count(DISTINCT row_ordinal) >= 2",
@@ -219,6 +207,16 @@ SELECT group_no::BIGINT AS group_no, min(row_ordinal) AS first_row, max(row_ordi
 }
 ORACLES["continuity_summary"] = f"""WITH x AS ({ORACLES['continuity_pairs']}) SELECT (SELECT count(*) FROM nq_sample_rows) AS scanned_rows, (SELECT count(candidates) FROM nq_sample_rows) AS rows_with_candidates,
 (SELECT count(*) FROM (WITH {_PASSAGES} SELECT * FROM p)) AS total_candidates, count(*) AS adjacent_pairs, count(*) FILTER (likely) AS likely_continuations, round(count(*) FILTER (likely) / count(*), 6) AS likely_ratio FROM x"""
+_FINAL = f"WITH RECURSIVE {C.chunks()}"
+ORACLES["sentence_packing"] = f"""WITH RECURSIVE source AS (SELECT chunk_id, {S.normalize('text')} AS body FROM index_chunks WHERE text IS NOT NULL), {C.sentence_walk('source', 'chunk_id', 20, 30)}
+SELECT chunk_id, part::INT AS part, body AS text FROM parts"""
+ORACLES["chunks"] = f"""{_FINAL} SELECT chunk_id, group_id, row_ordinal AS source_row_ordinal, first_idx AS start_candidate_idx, last_idx AS end_candidate_idx, body AS text, chunk_kind, n AS token_count, final.passage_types AS passage_types,
+{S.optional('title')} AS title, {S.optional('question')} AS question FROM final JOIN nq_sample_rows USING (row_ordinal)"""
+ORACLES["chunk_context"] = f"{_FINAL} SELECT row_ordinal AS source_row_ordinal, first_idx AS start_candidate_idx, span, part, context_text, {S.token_count('context_text')} AS context_token_count FROM final"
+ORACLES["chunk_counters"] = f"""{_FINAL} SELECT (SELECT count(*) FROM nq_sample_rows) AS rows, (SELECT count(*) FROM ann) AS candidates, (SELECT count(*) FROM ann WHERE tokens <= 60) AS tiny_candidates,
+(SELECT count(*) FROM ann WHERE role = 'boilerplate') AS boilerplate, (SELECT count(*) FROM ann WHERE role = 'duplicate_child') AS duplicate_children, count(*) AS chunks, count(*) FILTER (chunk_kind = 'short_fact') AS short_facts,
+count(*) FILTER (context_text <> body) AS context_expanded,
+(SELECT count(*) FROM span WHERE k NOT IN (SELECT k FROM long) AND k NOT IN (SELECT k FROM piece)) + (SELECT count(*) FROM parts) - (SELECT count(*) FROM piece WHERE part > 0) AS tiny_suppressed, (SELECT '{{' || string_agg('"' || role || '":' || n, ',' ORDER BY role) || '}}' FROM (SELECT role, count(*) AS n FROM ann GROUP BY role)) AS role_counts FROM final"""
 _ALL = (
     normalize_text, token_count, optional_strings, text_predicates, first_sentence, safe_urls, uuid5_ids, explode_passages, flatten_chunks, group_chunks, index_records, row_counts, max_rows_cap, max_passages_cap, point_payloads,
     embedding_texts, candidate_roles, duplicate_children, role_histogram, span_packing, sentence_packing, chunks, chunk_context, chunk_counters, continuity_pairs, continuity_summary, duplicate_text_groups, contiguous_groups,

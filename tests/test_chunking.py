@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 
-import chunk_oracle
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import EngineConfig
 from siftline.operators import chunking, ingest
+from siftline.plans import chunk_sql
 from siftline.sources.tables import table
 
 WORDS = "tower was built stone the river including parts has gate: old. such as mill and small! carts? of wood is long 1900 Übung".split()
@@ -33,23 +34,25 @@ def rows_at_random(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed, config", [(1, {}), (2, {"soft_tokens": 30, "hard_tokens": 5, "max_tokens": 80}), (3, {"soft_tokens": 5, "hard_tokens": 20, "context_token_cap": 50}), (4, {"target_tokens": 40, "max_tokens": 60})])
-def test_same_as_plain_python(spark, raw, seed, config):
-    rows = rows_at_random(seed)
-    c = EngineConfig(**config)
-    got = chunking.chunk(raw(*rows), c).orderBy("source_row_ordinal", "span", "part").collect()
-    want = []
-    for i, r in enumerate(rows):
-        want += [(i, *x) for x in chunk_oracle.chunks(r["candidates"], r["passage_types"], c.soft_tokens, c.hard_tokens, c.target_tokens, c.max_tokens, c.context_token_cap)]
-    assert [(r.source_row_ordinal, r.start_candidate_idx, r.end_candidate_idx, r.chunk_kind, r.text, r.context_text) for r in got] == want
+@pytest.mark.parametrize("seed, config", [(1, {}), (2, {"soft_tokens": 30, "hard_tokens": 5, "max_tokens": 80}), (3, {"soft_tokens": 25, "hard_tokens": 20, "context_token_cap": 50}), (4, {"target_tokens": 40, "max_tokens": 60})])
+def test_same_as_sql_on_random_rows(spark, raw, seed, config):
+    df, c = raw(*rows_at_random(seed)), EngineConfig(**config)
+    con = duckdb.connect()
+    con.register("nq_sample_rows", df.toArrow())
+    want = con.sql(f"WITH RECURSIVE {chunk_sql.chunks(c)} SELECT row_ordinal, first_idx, last_idx, span, part, chunk_kind, body, context_text, chunk_id FROM final ORDER BY row_ordinal, span, part").fetchall()
+    got = chunking.chunk(df, c).orderBy("source_row_ordinal", "span", "part").collect()
+    assert len(got) > 20
+    assert [(r.source_row_ordinal, r.start_candidate_idx, r.end_candidate_idx, r.span, r.part, r.chunk_kind, r.text, r.context_text, r.chunk_id) for r in got] == want
     assert all(r.title == "T" and r.question is None and r.long_answers == ["x"] for r in got)
 
 
-def test_whole_table_same_as_plain_python(spark, sf):
-    rows = table(spark, sf, "nq_sample_rows")
-    got = {(r.source_row_ordinal, r.start_candidate_idx, r.end_candidate_idx, r.chunk_kind, r.text, r.context_text) for r in chunking.chunk(rows).collect()}
-    want = {(r.row_ordinal, *x) for r in rows.collect() for x in chunk_oracle.chunks(r.candidates, r.passage_types)}
-    assert got == want
+def test_tiny_chunks_join_the_one_before(spark, raw):
+    """Where the soft limit is under the hard one, a chunk under the hard limit is added to the chunk before it, or dropped at the row's start."""
+    fact = lambda n, w: " ".join(f"{w}{i}" for i in range(n)) + " was so."
+    tiny, large = [fact(8, w) for w in "abc"], fact(26, "l")
+    rows = raw({"candidates": [tiny[0], large, tiny[1], tiny[2]], "passage_types": ["a", "b", "c", "d"]}, {"candidates": [tiny[0]]})
+    got = chunking.chunk(rows, EngineConfig(soft_tokens=5, hard_tokens=20, max_tokens=31)).collect()
+    assert [(r.source_row_ordinal, r.start_candidate_idx, r.end_candidate_idx, r.text) for r in got] == [(0, 1, 3, f"{large} {tiny[1]} {tiny[2]}")]
 
 
 def test_roles_and_contained_children(spark, raw):
@@ -78,7 +81,9 @@ def test_empty_and_null_rows(spark, raw):
 def test_counters(spark, raw):
     c = chunking.counters(raw({"candidates": ["See also", "A b c d e f g h i j k l m n o p q r s t u v."]})).first()
     assert (c.rows, c.candidates, c.boilerplate, c.chunks) == (1, 2, 1, 1)
-    assert c.role_counts == {"boilerplate": 1, "paragraph": 1}
+    assert c.role_counts == {"boilerplate": 1, "paragraph": 1} and c.tiny_suppressed == 0
+    few = chunking.counters(raw({"candidates": ["only three words"]}, {"candidates": [" ".join(f"w{i}" for i in range(299)) + ". a b c"]}), EngineConfig(max_tokens=299)).first()
+    assert (few.chunks, few.tiny_suppressed) == (1, 2)
 
 
 def test_group_and_flatten_round_trip(spark, raw):
