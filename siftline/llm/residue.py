@@ -1,18 +1,27 @@
 """Template residue, filler, error pages and script notices instead of content.
 
-1. One pass over whole texts gives each document a trusted label where patterns are sure of it, and the key, SimHash and
-   shingles of its *body*: the text without title, menu and footer lines, with numbers, hosts, ids and the title masked.
-   ``placeholder``: an unfilled field stands where a value should (not in code or in quotation marks of its own).
-   ``whole``: nothing is left of the body without sentences of error, refusal and script notices and of filler.
-2. Bodies that are equal after masking are one. The SimHash of each is cut into ``BLOCKS`` blocks, and every choice of half of
-   them is a table partitioned by their value; bodies of one value in one table whose Hamming distance is at most
-   ``HAMMING`` are candidates. The tables lose most pairs that differ in more than a few bits, so bodies that share one of the
-   smallest shingles, which all similar enough pairs do, are candidates too. All are compared by the Jaccard similarity of
-   their five-word shingles, at least ``SIMILAR``: no link is lost.
-3. The label ``whole`` spreads over these links through connected components, round by round from the trusted bodies, until a
-   round adds none; components without a trusted body are never built. Placeholders label only their own document.
-
-Null, empty and blank texts are not residue. Texts of under five words are one shingle. Repeated documents are judged alike;
+1. One pass over whole texts makes of each document its *body*, the text without title, menu and footer lines, cut into
+   sentences, with numbers, hosts, ids and the title masked. ``residue_seeds`` gives the trusted labels: ``placeholder`` (of its
+   own document only) and ``whole`` (every sentence of the body is a sure message or filler). Bodies that are equal after masking
+   are one. A body carries its SimHash, the smallest fifth of its shingles, the share of its words that sure sentences make up,
+   and the hashes of its other, *open* sentences.
+2. The label ``whole`` spreads over a graph of bodies, round by round from those that have it, until a round adds none;
+   components without a trusted body are never built. Bodies are linked in two ways:
+
+   * *Near-duplicates.* The SimHash is cut into ``BLOCKS`` blocks, and every choice of half of them is a table partitioned by
+     their value; bodies of one value in one table whose Hamming distance is at most ``HAMMING`` are candidates. The tables lose
+     most pairs that differ in more than a few bits, so bodies that share one of the smallest shingles, which all similar enough
+     pairs do, are candidates too. All are verified by the Jaccard similarity of their five-word shingles, at least ``SIMILAR``:
+     no link is lost.
+   * *Company.* An open sentence that stands in at least ``COMPANY`` bodies that are residue by half of their words or more, and
+     in no more others than those (bodies whose sentences are all of this kind not counted), becomes residue, and with it the
+     bodies of which no sentence is left open; an article that holds such a sentence keeps its own. (A body that is sure by less than half of its words counts as having no sure sentence.) So kinds and languages that no seed knows are told by the known ones they come with.
+
+Each round asks only rows that meet a fresh key: keys are sent to the tasks while a count shows that they are few, else both
+sides are joined by key with salt on the larger. Of fresh bodies with one SimHash one stands for all first; the others look only
+at what that one leaves.
+
+Null, empty and blank texts are not residue. Bodies of under five words are one shingle. Repeated documents are judged alike;
 nulls in other columns don't matter; empty tables give an empty result.
 """
 
@@ -20,263 +29,205 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.boilerplate import _plain
-from siftline.plans.shared import cut
+from siftline.llm.residue_seeds import LATIN, SEEDS, WORD, Seeds, body_lines, has_placeholder, is_filler, sentences, unaccented, without_tracebacks
+from siftline.plans.shared import cut, small
 
 SHINGLE, SIMILAR, HAMMING = 5, 0.8, 16
-BLOCKS, BITS = 6, 64
-
-#: Code and short quotations, in which a placeholder is only spoken of.
-QUOTED = re.compile(r"```.*?```|`[^`\n]*`|[\"“„«][^\"“”„«»\n]{1,40}[\"”“»]|<(script|style|code|pre)\b.*?</\1>", re.S | re.I)
-_NAME = r"[^\W\d][\w.]*(?: [\w.]+){0,4}"
-#: Words with which an instruction to fill in a field begins or ends.
-_FILL = r"insert|your|enter|add|tbd|todo|fill in|write|type|choose|insérer|votre|saisir|ajouter|introducir|insertar|añadir|su|einfügen|ihr|ihre|eintragen|hier"
-PLACEHOLDER = re.compile(
-    "|".join(
-        (
-            rf"\{{\{{\{{?[#/^&]?\s*{_NAME}\s*\}}\}}",
-            rf"[$#]\{{\s*{_NAME}\s*\}}",
-            rf"(?<![\w{{$#])\{{{_NAME}\}}(?!\}})",
-            r"%\([^\W\d][\w.]*\)[sdrf]",
-            r"(?<![\w%])%[^\W\d][\w.]*%(?![\w%])",
-            rf"\[%-?\s*{_NAME}\s*-?%\]",
-            rf"\{{%-?\s*{_NAME}\s*-?%\}}",
-            rf"<%[=-]?\s*{_NAME}\s*-?%>",
-            rf"<<\s*{_NAME}\s*>>",
-            rf"@@{_NAME}@@",
-            r"(?<!\w)__[^\W\d_][\w]*?__(?!\w)",
-            rf"\*\|{_NAME}\|\*",
-            r"&[A-Z][A-Z_]{2,};|&[a-z]+_[a-z_]+;",
-            r"(?<![\w$])\$[^\W\d]\w{2,}\$(?![\w$])",
-            rf"\[\[\s*(?i:{_FILL})\b[^\]|]{{0,60}}\]\]",
-            r"\[\[[A-Z][A-Z_]*_[A-Z_]+\]\]|\[\[[a-z]+(?:_[a-z]+)*\]\]",
-            rf"\[\s*(?i:{_FILL})\b:?[^\]\[]{{1,60}}\]",
-            rf"\[[^\]\[]{{1,60}}\s(?i:{_FILL}|here|ici|aquí)\s*\]",
-            r"<[^<>\n]{1,60} (?i:goes here|here|ici|aquí|hier)>",
-            r"_{3,}\s*\([^)\n]{2,40}\)",
-        )
-    )
-)
-#: Fields whose names are all capitals or all small, as in ``[[CAPTION]]``, are told from links by these words. Fixed values.
-FIELDS = {*"title date year place author summary section caption name city org user email count item first last page company phone address price".split()}
-LINKED = re.compile(r"\[\[([^\]|\[]{2,40})\]\]")
-
-#: Sentences that stand in the place of content. Each is matched against one sentence or the whole body.
-MESSAGES = re.compile(
-    "|".join(
-        (
-            # scripts
-            r"(please|you (need|must|have)|to (read|view|see|use|continue)|this (page|app|application|site|content|article)|ad ?blockers|your browser|loading|veuillez|merci|pour (voir|lire|afficher)|activez|cette (page|application)|por favor|active|habilite|necesita|esta (página|aplicación)|para (ver|leer)|diese|bitte|um diese)\b.{0,120}\b(java ?script|scripts?|scripting|skripte)\b.{0,120}",
-            r"java ?script (is|must be|has to be|ist|est|está) .{0,120}",
-            r"turn them on and reload|in ihrem browser ist es abgeschaltet|some parts of \S+ will not work without it|loading(\.{1,3})?|(bitte )?(aktivieren|aktiviere) sie (java ?script|skripte).{0,60}",
-            r"</?noscript>.{0,90}|if nothing appears, check that scripting is allowed.{0,60}|your browser is out of date.{0,120}",
-            # errors
-            r"(error|fehler|erreur)? ?\d{3} ?[-–:] ?.{0,90}|error \d{3}\b.{0,60}|please try again( in \d+ (minutes?|seconds?|hours?)| later)?|(page|file|seite|article) not found.{0,20}",
-            r"the (requested )?(page|url|article|file)\b.{0,90}\b(was not found|may have been moved|could not be found|does not exist|no longer exists).{0,60}|no results|the article you are looking for does not exist.{0,60}",
-            r"seite nicht gefunden.{0,20}|die angeforderte seite existiert nicht.{0,20}|ein unerwarteter fehler ist aufgetreten|bitte versuchen sie es später (noch einmal|erneut)",
-            r"página no encontrada|compruebe la dirección.{0,80}|page (introuvable|non trouvée).{0,60}|la page (demandée|que vous).{0,90}|le service est (momentanément|temporairement) indisponible.{0,60}|el servicio no está disponible.{0,60}|ha ocurrido un error.{0,60}|une erreur.{0,20} (est survenue|s'est produite).{0,60}",
-            r"oops!?.{0,60}|(something|what) went wrong.{0,40}|our team at .{1,60} has been told.{0,40}|fatal error: .{0,160}|traceback \(most recent call last\):?.{0,300}|file \".{1,90}\", line \d+.{0,60}|\w*(error|exception): .{0,120}",
-            r"(java|javax|org|com)\.[\w.]+(exception|error).{0,160}|at [\w.$]+\([\w.]+:\d+\)|upstream timed out.{0,90}|database connection failed.{0,160}|http/\d\.\d \d{3}\b.{0,60}|server: .{1,60}|request id: .{1,40}|reference #?\w{6,}|ray \w{6,}",
-            # refusals
-            r"access denied.{0,20}|you do not have permission.{0,160}|sorry, this (content|page|article) is (not available|unavailable|missing).{0,60}|too many requests|you have been blocked.{0,60}|checking (that|if|whether) you are (not a robot|human).{0,40}|this (can|may) take \d+ seconds",
-            r"we are down for (planned )?maintenance.{0,60}|thank you for your patience|your session has expired|log in again to continue.{0,120}|please (log|sign) in to continue.{0,60}|are you (a robot|human)\?",
-            # filler
-            r"this is (a )?(sample|dummy|placeholder|example) (paragraph|text|content|page).{0,40}|your story starts here.{0,60}|edit or delete this block|this text will be replaced.{0,40}|placeholder (copy|text|content).{0,40}|ceci est un texte (provisoire|d'exemple).{0,20}|(dies ist )?(ein )?(platzhaltertext|beispieltext|blindtext).{0,20}",
-            r"hello world!?|headline goes here|write something about yourself|replace it with your own words|(este es un |esto es un )?texto de (ejemplo|relleno|prueba).{0,20}|texte (d'exemple|de remplissage).{0,20}|(dummy|sample|test) (content|text)|x{3,}|(add|insert|write|enter|type|put) (a|an|your|some|the) .{0,60}\b(here|yourself|own words)|coming soon|under construction|(text|title|content) goes here",
-        )
-    ),
-    re.S,
-)
-def unaccented(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-
-
-PLAIN_MESSAGES = re.compile(unaccented(MESSAGES.pattern), re.S)
-#: Words of the usual Latin filler.
-LATIN = {*"lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()}
-FOOTER = re.compile(r"\s*(©|\(c\)|copyright\b|all rights reserved|alle rechte|tous droits|todos los derechos)[^\n]{0,90}", re.I)
-REFERENCE = re.compile(r"(\b(?:reference #?|ray )\w{6,}\.?)", re.I)
-WORD = re.compile(r"\w+")
+BLOCKS, BITS, COMPANY, SALT = 6, 64, 2, 16
+#: Keys (of eight bytes) up to which a set of them is sent to every task.
+FEW = 500_000
+
 HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}\b")
-HEXES = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
-
-
-def body_lines(text: str, title: str | None) -> list[str]:
-    """The lines without menus, footers and, above others, the title."""
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    keep = []
-    name = " ".join((title or "").lower().split())
-    for i, line in enumerate(lines):
-        items = re.split(r"\s+[|·»>/-]\s+|\s{3,}", line)
-        menu = len(items) > 2 and all(len(x.split()) <= 3 and not re.search(r"[\d:.!?]", x) for x in items)
-        heading = " ".join(line.lower().split())
-        if menu or FOOTER.fullmatch(line) or len(lines) > 1 and heading == name:
-            continue
-        keep.append(line)
-    # a short first line without a sentence's end above a single message is a title too
-    if len(keep) > 1 and len(keep[0].split()) <= 8 and not re.search(r"[.!?:;…>\"]$|[:]", keep[0]) and not is_message(keep[0]):
-        keep = keep[1:]
-    return keep
-
-
-def is_message(sentence: str) -> bool:
-    low = " ".join(sentence.lower().split()).strip(" .!…")
-    plain = unaccented(low)
-    return not low or any(p.fullmatch(x) or p.fullmatch(x + ".") for p, x in ((MESSAGES, low), (PLAIN_MESSAGES, plain)))
-
-
-def repeats(words: list[str]) -> bool:
-    """Whether up to four words come again and again and nothing else."""
-    return any(len(words) >= 4 * n and all(w == words[i % n] for i, w in enumerate(words)) for n in range(1, 5))
-
-
-#: Lines of a Python traceback: its head, a frame, marks under a source line and the error at its end. Fixed values.
-TRACE_HEAD = re.compile(r"traceback \(most recent call last\):?|during handling of the above exception, another exception occurred:?|the above exception was the direct cause of the following exception:?", re.I)
-TRACE_FRAME = re.compile(r"file \".+\", line \d+(, in .+)?", re.I)
-TRACE_MARK = re.compile(r"[\^~][\^~ ]*|\[previous line repeated \d+ more times?\]", re.I)
-TRACE_END = re.compile(r"[\w.]*(error|exception|exit|interrupt|warning|stopiteration|timeout)(: .*)?", re.I)
-
-
-def without_tracebacks(lines: list[str]) -> list[str]:
-    """The lines without tracebacks, of any length: a head, frames, each with its source line, and the error."""
-    rest, i = [], 0
-    while i < len(lines):
-        at = i + 1 if TRACE_HEAD.fullmatch(lines[i]) else i
-        while at > i and at < len(lines) and TRACE_FRAME.fullmatch(lines[at]):
-            at += 1
-            if at < len(lines) and not any(p.fullmatch(lines[at]) for p in (TRACE_HEAD, TRACE_FRAME, TRACE_MARK, TRACE_END)):
-                at += 1
-            while at < len(lines) and TRACE_MARK.fullmatch(lines[at]):
-                at += 1
-        if at > i + 1 and at < len(lines) and TRACE_END.fullmatch(lines[at]):
-            at += 1
-        if at == i:
-            rest.append(lines[i])
-        i = max(at, i + 1)
-    return rest
-
-
-def is_whole_residue(lines: list[str]) -> bool:
-    """Whether nothing but messages and filler is left."""
-    text = "\n".join(lines)
-    words = WORD.findall(text.lower())
-    if not words:
-        return False
-    if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.8 * len(words):
-        return True
-    if repeats(WORD.findall(text.lower())):
-        return True
-    text = REFERENCE.sub(r"\1\n", text)
-    sentences = [x for line in REFERENCE.sub(r"\1\n", "\n".join(without_tracebacks(lines))).split("\n") for x in re.split(r"(?<=[.!?])\s+", line) if WORD.search(x)]
-    return all(is_message(x) for x in sentences) or len(words) <= 60 and is_message(text)
-
-
-#: Every placeholder has one of these.
-MARKS = set("{[<%@_*&$")
-
-
-def has_placeholder(text: str) -> bool:
-    if MARKS.isdisjoint(text):
-        return False
-    plain = QUOTED.sub(" ", text)
-    if PLACEHOLDER.search(plain):
-        return True
-    for m in LINKED.finditer(plain):
-        if all(w in FIELDS for w in re.split(r"[\s_.]+", m.group(1).lower()) if w):
-            return True
-    return False
-
-
-def masked(lines: list[str], title: str | None) -> list[str]:
-    """The body's words, with what differs from page to page masked."""
-    text = " ".join(" ".join(lines).lower().split())
-    name = " ".join((title or "").lower().split())
+HEXES = re.compile(r"[0-9a-f]{6,}")
+NUMBER = re.compile(r"\d+")
+DOTTED = re.compile(r"\.[a-z]")
+
+
+def masked(pieces: list[str], title: str | None) -> list[list[str]]:
+    """The words of each piece (in small letters), with what differs from page to page masked."""
+    text = "\n".join(pieces)
+    name = unaccented(" ".join((title or "").lower().split()))
     if len(name) > 3:
         text = text.replace(name, " titel ")
-    text = HEXES.sub(" ref ", HOST.sub(" host ", text))
-    return WORD.findall(re.sub(r"\d+", "0", text))
+    if DOTTED.search(text):
+        text = HOST.sub(" host ", text)
+    out = []
+    for piece in text.split("\n"):
+        words = WORD.findall(piece)
+        if not "".join(words).isalpha():
+            words = [w if w.isalpha() else "ref" if HEXES.fullmatch(w) and NUMBER.search(w) else NUMBER.sub("0", w) for w in words]
+        out.append(words)
+    return out
 
 
-def shingle_hashes(words: list[str]) -> list[int]:
+_HASHES: dict[str, int] = {}
+
+
+def word_hashes(words: list[str]):
+    import numpy as np
     import xxhash
 
-    if len(words) < SHINGLE:
-        grams = [" ".join(words)]
-    else:
-        grams = [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
-    return list({xxhash.xxh3_64_intdigest(g) for g in grams})
+    known = _HASHES
+    if len(known) > 500_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.array([known[w] for w in words], dtype=np.uint64)
 
 
-def prefix(hashes: list[int]) -> list[int]:
-    """The smallest hashes, in order, as signed numbers: two sets of similarity ``SIMILAR`` share at least one of these."""
-    return sorted(h - (1 << 64) if h >> 63 else h for h in hashes)[: len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1]
+def _mixed(h):
+    """The bits of sums spread once more, so that any of them can stand for the whole."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def simhash(hashes: list[int]) -> int:
-    """Of each bit whether most of the hashes have it."""
+def sequence_hashes(hashes, sizes):
+    """A signed number for each of the sequences of words that follow each other (``sizes`` of at least 1)."""
     import numpy as np
 
-    a = np.array(hashes, dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(a), 65_536):
-        ones += np.unpackbits(a[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(a), bitorder="little").tobytes(), "little", signed=True)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+    return _mixed(np.add.reduceat(_mixed(hashes + place * np.uint64(0x9E3779B97F4A7C15)), starts)).astype(np.int64)
 
 
-def _words(text: str, title: str | None) -> tuple[str, list[str], list[str]]:
-    """The text in one form, its body's lines and their masked words."""
-    text, title = _plain()(text), title if isinstance(title, str) else None
-    lines = body_lines(text, title)
-    return text, lines, masked(lines, title)
+def shingle_hashes(hashes, sizes) -> list:
+    """For each of the sequences the different five-word shingles, as signed numbers in order; of fewer words the one there is."""
+    import numpy as np
+
+    total, have = np.zeros(len(hashes), dtype=np.uint64), len(hashes)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(have)  # words from here to the end of the sequence
+    for j in range(SHINGLE):
+        here = np.zeros(have, dtype=np.uint64)
+        here[: have - j] = hashes[j:]
+        total = total * np.uint64(0x9E3779B97F4A7C15) + np.where(left > j, here, np.uint64(0))
+    keep = (left >= SHINGLE) | (np.repeat(np.minimum(sizes, SHINGLE), sizes) == left)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    found = _mixed(total[keep]).astype(np.int64)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    first = np.ones(len(found), dtype=bool)
+    first[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return np.split(found[first], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))[:-1])
+
+
+def prefix(shingles):
+    """The smallest of the ordered hashes: two sets of similarity ``SIMILAR`` share at least one of these."""
+    return shingles[: len(shingles) - math.ceil(SIMILAR * len(shingles) - 1e-9) + 1]
+
+
+def simhash(shingles: list) -> list[int]:
+    """For each list of hashes: of each bit whether most of them have it. Bits are counted in parts, so long texts need no more room."""
+    import numpy as np
+
+    flat, sizes = np.concatenate(shingles), np.array([len(x) for x in shingles])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ones = np.zeros((len(sizes), BITS), dtype=np.int64)
+    for at in range(0, len(flat), 65_536):
+        bits = np.unpackbits(flat[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        mine = owner[at : at + 65_536]
+        starts = np.flatnonzero(np.diff(mine, prepend=-1))
+        ones[mine[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def _pieces(text: str, title: str | None, seeds: Seeds) -> tuple[str, list[str], list[list[str]]]:
+    """The text in one form, its body's sentences in small letters without accents (tracebacks are left out), and the masked words of each."""
+    text = _plain()(text)
+    lines = body_lines(text, title, seeds.is_message)
+    parts = sentences(without_tracebacks(lines)) or sentences(lines)
+    low = unaccented("\n".join(parts).lower()).split("\n")
+    return text, low, masked(low, title)
+
+
+def judged(parts: list[str], words: list[list[str]], seeds: Seeds) -> list[bool]:
+    """Which sentences are sure. The longest are asked first, and none is sure once others make up more than half of the words."""
+    sizes = [len(w) for w in words]
+    sure, other, n = [False] * len(parts), 0, sum(sizes)
+    filled = sum(map(LATIN.__contains__, (w for x in words for w in x))) >= 4 or len(parts) < 4 or any(len(set(w)) <= 4 <= len(w) for w in words)
+    for i in sorted(range(len(parts)), key=lambda i: -sizes[i]):
+        sure[i] = not sizes[i] or seeds.tells(parts[i]) or filled and is_filler(words[i]) and is_filler(WORD.findall(parts[i]))
+        if not sure[i]:
+            other += sizes[i]
+            if 2 * other > n:
+                return [False] * len(parts)
+    return sure
 
 
 def _usable(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "title")
 
 
-def screen(docs: DataFrame) -> DataFrame:
-    """Of each text its trusted label, if any, and its body's key, SimHash, number of shingles and the smallest fifth of them."""
+SCREENED = "doc_id bigint, label string, body string, simhash bigint, shingled bigint, prefix array<bigint>, told double, open array<bigint>"
+
+
+def screen(docs: DataFrame, seeds: Seeds = SEEDS) -> DataFrame:
+    """Of each text its trusted label, if any, and its body (see above); bodies are null where the text has no word."""
 
     def run(batches):
         import hashlib
 
+        import numpy as np
         import pandas as pd
 
         for pdf in batches:
             for at in range(0, len(pdf), 500):
-                out = []
+                out, words, sizes, opened, open_sizes = [], [], [], [], []
                 for name, text, title in pdf.iloc[at : at + 500][["doc_id", "text", "title"]].itertuples(index=False):
-                    text, lines, words = _words(text, title)
-                    label = "placeholder" if has_placeholder(text) else "whole" if is_whole_residue(lines) else None
-                    if words:
-                        hashes = shingle_hashes(words)
-                        out.append((name, label, hashlib.md5(" ".join(words).encode()).hexdigest(), simhash(hashes), len(hashes), prefix(hashes)))
-                    else:
-                        out.append((name, label, None, None, None, None))
-                yield pd.DataFrame(out, columns=["doc_id", "label", "body", "simhash", "shingled", "prefix"]).astype({"simhash": "Int64", "shingled": "Int64"})
-
-    return _usable(docs).mapInPandas(run, "doc_id bigint, label string, body string, simhash bigint, shingled bigint, prefix array<bigint>")
-
-
-def with_shingles(bodies: DataFrame, docs: DataFrame) -> DataFrame:
+                    text, parts, each = _pieces(text, title if isinstance(title, str) else None, seeds)
+                    label = "placeholder" if has_placeholder(text) else None
+                    flat = [w for x in each for w in x]
+                    if not flat:
+                        out.append([name, label, *[None] * 6])
+                        continue
+                    sure = [True] * len(parts) if is_filler(flat) and is_filler(WORD.findall(" ".join(parts))) else judged(parts, each, seeds)
+                    left = [w for w, ok in zip(each, sure, strict=True) if w and not ok]
+                    opened += left
+                    open_sizes.append(len(left))
+                    words += flat
+                    sizes.append(len(flat))
+                    out.append([name, label or (None if left else "whole"), "", None, None, None, 1 - sum(map(len, left)) / len(flat), None])
+                if sizes:
+                    hashes, counts = word_hashes(words), np.array(sizes)
+                    shingles = shingle_hashes(hashes, counts)
+                    marks = iter(zip(np.split(hashes, np.cumsum(counts)[:-1]), shingles, simhash(shingles), open_sizes, strict=True))
+                    lengths = np.array([len(w) for w in opened], dtype=np.int64)
+                    open_hashes = sequence_hashes(word_hashes([w for x in opened for w in x]), lengths) if opened else np.zeros(0, np.int64)
+                    taken = 0
+                    for row in out:
+                        if row[2] is not None:
+                            own, s, mark, n = next(marks)
+                            row[2:6] = hashlib.md5(own.tobytes()).hexdigest(), mark, len(s), prefix(s)
+                            row[7], taken = list(dict.fromkeys(open_hashes[taken : taken + n].tolist())), taken + n
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SCREENED.split(", ")]).astype({"simhash": "Int64", "shingled": "Int64"})
+
+    return _usable(docs).mapInPandas(run, SCREENED)
+
+
+def with_shingles(bodies: DataFrame, docs: DataFrame, seeds: Seeds = SEEDS) -> DataFrame:
     """``body, shingles`` of bodies (``body, doc_id`` of one document that has it), made from its text again."""
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for body, text, title in pdf[["body", "text", "title"]].itertuples(index=False):
-                rows.append((body, [h - (1 << 64) if h >> 63 else h for h in shingle_hashes(_words(text, title)[2])]))
+                words = [w for x in _pieces(text, title if isinstance(title, str) else None, seeds)[2] for w in x]
+                rows.append((body, shingle_hashes(word_hashes(words), np.array([len(words)]))[0]))
             yield pd.DataFrame(rows, columns=["body", "shingles"])
 
-    return _usable(docs).join(bodies.select("body", "doc_id"), "doc_id").select("body", "text", "title").mapInPandas(run, "body string, shingles array<bigint>")
+    return _usable(docs).join(small(bodies.select("body", "doc_id")), "doc_id").select("body", "text", "title").mapInPandas(run, "body string, shingles array<bigint>")
 
 
 def _tables(bodies: DataFrame) -> DataFrame:
@@ -284,25 +235,33 @@ def _tables(bodies: DataFrame) -> DataFrame:
     edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
     block = [F.shiftrightunsigned("simhash", edges[i]).bitwiseAND((1 << edges[i + 1] - edges[i]) - 1) for i in range(BLOCKS)]
     keys = [F.xxhash64(F.lit(t), *[block[i] for i in chosen]) for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS // 2))]
-    return bodies.select("body", "simhash", F.explode(F.array(*keys)).alias("key"))
+    return bodies.select("doc_id", "body", "simhash", F.explode(F.array(*keys)).alias("key"))
+
+
+def _meet(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Join by a key: ``a`` is sent to the tasks if a count shows that it is small, else salted against hot keys of ``b``."""
+    a = cut(a)
+    if a.limit(FEW + 1).count() <= FEW:
+        return b.join(F.broadcast(a), key)
+    return b.withColumn("_salt", F.pmod(F.xxhash64("b_id"), F.lit(SALT))).join(a.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint")))), [key, "_salt"]).drop("_salt")
 
 
 def candidates(some: DataFrame, others: DataFrame) -> DataFrame:
-    """``a, b``: bodies that meet in a table of SimHash blocks and are near by Hamming distance."""
-    a, b = _tables(some).alias("a"), _tables(others).alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= HAMMING) & (F.col("a.body") != F.col("b.body"))
-    return a.join(b, near).select(F.col("a.body").alias("a"), F.col("b.body").alias("b")).distinct()
+    """``a_id, b_id, a, b``: bodies that meet in a table of SimHash blocks and are near by Hamming distance."""
+    a = _tables(some).toDF("a_id", "a", "a_hash", "key")
+    b = _tables(others).toDF("b_id", "b", "b_hash", "key")
+    near = (F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= HAMMING) & (F.col("a") != F.col("b"))
+    return _meet(a, b, "key").where(near).select("a_id", "b_id", "a", "b").distinct()
 
 
 def sharing(some: DataFrame, others: DataFrame) -> DataFrame:
-    """``a, b``: bodies that share a shingle of their prefixes and can be similar enough by their sizes and its places; every similar pair is among them."""
-    a, b = (x.select(F.col("doc_id").alias(f"{n}_id"), F.col("shingled").alias(f"{n}_size"), F.posexplode("prefix").alias(f"{n}_at", "shingle")) for x, n in ((some, "a"), (others, "b")))
+    """``a_id, b_id, a, b``: bodies that share a shingle of their prefixes and can be similar enough by their sizes and its places; every similar pair is among them."""
+    a, b = (x.select(F.col("doc_id").alias(f"{n}_id"), F.col("body").alias(n), F.col("shingled").alias(f"{n}_size"), F.posexplode("prefix").alias(f"{n}_at", "shingle")) for x, n in ((some, "a"), (others, "b")))
     sizes = (F.col("a_size") >= SIMILAR * F.col("b_size") - 1e-6) & (F.col("b_size") >= SIMILAR * F.col("a_size") - 1e-6)
     # from the first shingle that both have, no more can be common than is left of either
     most = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
     places = most * (1 + SIMILAR) >= SIMILAR * (F.col("a_size") + F.col("b_size")) - 1e-6
-    met = a.join(b, "shingle").where(sizes & places & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id").distinct()
-    return met.join(some.select(F.col("doc_id").alias("a_id"), F.col("body").alias("a")), "a_id").join(others.select(F.col("doc_id").alias("b_id"), F.col("body").alias("b")), "b_id").select("a", "b")
+    return _meet(a, b, "shingle").where(sizes & places & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id", "a", "b").distinct()
 
 
 def verified(met: DataFrame, shingled: DataFrame) -> DataFrame:
@@ -312,30 +271,78 @@ def verified(met: DataFrame, shingled: DataFrame) -> DataFrame:
     return full.where(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def residue(docs: DataFrame) -> DataFrame:
+def near_duplicates(fresh: DataFrame, rest: DataFrame, docs: DataFrame, seeds: Seeds = SEEDS) -> DataFrame:
+    """The bodies (``body``) of ``rest`` that are linked to one of ``fresh``, checked."""
+    met = cut(candidates(fresh, rest).union(sharing(fresh, rest)).distinct())
+    if not met.head(1):
+        return rest.select("body").where("false")
+    needed = met.select(F.explode(F.array(F.struct(F.col("a").alias("body"), F.col("a_id").alias("doc_id")), F.struct(F.col("b").alias("body"), F.col("b_id").alias("doc_id"))))).select("col.*").distinct()
+    return cut(verified(met, cut(with_shingles(needed, docs, seeds))).select(F.col("b").alias("body")).distinct())
+
+
+def in_company(rest: DataFrame, whole: DataFrame) -> DataFrame:
+    """``sentence``: the open sentences that the company they keep shows to be residue. whole: the bodies labelled so far, with theirs."""
+    half = rest.where("told >= 0.5").select("body", F.explode("open").alias("sentence"))
+    asked = cut(half.select("sentence").unionByName(whole.select(F.explode("open").alias("sentence"))).distinct())
+    if not asked.head(1):
+        return asked
+    key = F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked
+    opened = rest.select("body", (F.col("told") >= 0.5).alias("with"), F.size("open").alias("n"), F.explode("open").alias("sentence"))
+    beside = opened.unionByName(whole.select("body", F.lit(True).alias("with"), F.size("open").alias("n"), F.explode("open").alias("sentence")))
+    held = cut(beside.join(key, "sentence"))
+    enough = held.where("with").groupBy("sentence").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMPANY).select("sentence")
+    held = cut(held.join(small(enough, FEW), "sentence", "left_semi"))
+    while True:  # each time sentences are dropped, so it ends
+        covered = held.groupBy("body").agg(F.count(F.lit(1)).alias("c"))
+        sides = held.join(covered, "body").groupBy("sentence").agg(F.count_if("with").alias("with"), F.count_if((F.col("c") < F.col("n")) & ~F.col("with")).alias("apart"))
+        apart = cut(sides.where(F.col("apart") > F.col("with")).select("sentence"))
+        if not apart.head(1):
+            return held.select("sentence").distinct()
+        held = cut(held.join(small(apart, FEW), "sentence", "left_anti"))
+
+
+def settle(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """``rest`` with the sentences of ``known`` no longer open. Only bodies that hold one move."""
+    key = F.broadcast(known) if known.limit(FEW + 1).count() <= FEW else known
+    hit = rest.select("body", F.explode("open").alias("sentence")).join(key, "sentence").groupBy("body").agg(F.collect_set("sentence").alias("_known"))
+    joined = rest.join(small(hit, FEW), "body", "left")
+    left = F.when(F.col("_known").isNull(), F.col("open")).otherwise(F.array_except("open", "_known"))
+    # the closed ones count by their number among the open ones, the masked words not being at hand
+    told = F.when(F.col("_known").isNull() | (F.size("open") == 0), F.col("told")).otherwise(1 - (1 - F.col("told")) * F.size(left) / F.size("open"))
+    return joined.withColumns({"told": told, "open": left}).drop("_known")
+
+
+def residue(docs: DataFrame, seeds: Seeds = SEEDS) -> DataFrame:
     """``doc_id, label``: ``placeholder``, ``whole`` or, of documents linked to those, ``linked``."""
-    screened = cut(screen(docs))
+    screened = cut(screen(docs, seeds))
     bodies = cut(
         screened.where(F.col("body").isNotNull()).groupBy("body").agg(
-            F.max(F.coalesce(F.col("label") == "whole", F.lit(False))).alias("trusted"), F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.min("shingled").alias("shingled"), F.first("prefix").alias("prefix")
+            F.min("simhash").alias("simhash"), F.min("doc_id").alias("doc_id"), F.min("shingled").alias("shingled"), F.first("prefix").alias("prefix"), F.min("told").alias("told"), F.first("open").alias("open")
         )
     )
-    fresh, rest = bodies.where("trusted").drop("trusted"), bodies.where("NOT trusted").drop("trusted")
-    labelled = fresh.select("body")
-    while True:
-        met = cut(candidates(fresh, rest).union(sharing(fresh, rest)).distinct())
-        if not met.head(1):
-            break
-        needed = bodies.join(met.select(F.explode(F.array("a", "b")).alias("body")).distinct(), "body", "left_semi")
-        found = cut(verified(met, cut(with_shingles(needed, docs))).select(F.col("b").alias("body")).distinct())
-        if not found.head(1):
-            break
-        fresh = rest.join(found, "body", "left_semi")
-        rest = cut(rest.join(found, "body", "left_anti"))
-        labelled = labelled.unionByName(found)
+    trusted = F.size("open") == 0
+    fresh, rest = bodies.where(trusted), bodies.where(~trusted)
+    linked, whole = None, fresh
+    while fresh.head(1):  # each round labels at least one body more, so it ends; in practice after as many as the longest chain of links
+        first = fresh.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
+        leaders = fresh.join(first, ["simhash", "doc_id"], "left_semi")
+        found = near_duplicates(leaders, rest, docs, seeds)
+        others = fresh.join(first, ["simhash", "doc_id"], "left_anti")
+        if others.head(1):
+            found = found.unionByName(near_duplicates(others, rest.join(found, "body", "left_anti"), docs, seeds))
+        found = small(found)
+        near, after = rest.join(found, "body", "left_semi"), rest.join(found, "body", "left_anti")
+        told = cut(in_company(after, near))
+        if told.head(1):
+            after = cut(settle(after, told))
+        fresh = cut(near.unionByName(after.where(trusted)))
+        rest = after.where(~trusted)
+        linked = fresh.select("body") if linked is None else linked.unionByName(fresh.select("body"))
     own = screened.where(F.col("label").isNotNull()).select("doc_id", "label")
-    linked = screened.where(F.col("label").isNull() & F.col("body").isNotNull()).join(labelled.distinct(), "body", "left_semi").select("doc_id", F.lit("linked").alias("label"))
-    return own.unionByName(linked)
+    if linked is None:
+        return own
+    reached = screened.where(F.col("label").isNull() & F.col("body").isNotNull()).join(small(linked.distinct()), "body", "left_semi")
+    return own.unionByName(reached.select("doc_id", F.lit("linked").alias("label")))
 
 
 def clean(docs: DataFrame) -> DataFrame:

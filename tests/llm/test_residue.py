@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from siftline.llm import residue as R
+from siftline.llm import residue_seeds as S
 
 ART = "The old tower of Selholm was repaired in 1802 by the council, and most visitors came from the coast to see it in summer."
 
@@ -15,7 +16,7 @@ ART = "The old tower of Selholm was repaired in 1802 by the council, and most vi
     ],
 )
 def test_placeholders(text):
-    assert R.has_placeholder(text)
+    assert S.has_placeholder(text)
 
 
 @pytest.mark.parametrize(
@@ -26,7 +27,7 @@ def test_placeholders(text):
     ],
 )
 def test_no_placeholders(text):
-    assert not R.has_placeholder(text)
+    assert not S.has_placeholder(text)
 
 
 @pytest.mark.parametrize(
@@ -38,7 +39,7 @@ def test_no_placeholders(text):
     ],
 )
 def test_whole_residue(text):
-    assert R.is_whole_residue(R.body_lines(text, "Selholm"))
+    assert S.is_whole_residue(S.body_lines(text, "Selholm"))
 
 
 @pytest.mark.parametrize(
@@ -46,7 +47,7 @@ def test_whole_residue(text):
     [ART, "The guild teaches JavaScript to sailors at Selholm; scripts must be enabled in the first lesson.", "Room 404 of the tower was not found by farmers until 1654.", "The words lorem and ipsum, used by printers at Selholm as filler, were set in lead.", "Access to the tower was denied to masons in 1759, and the service was unavailable for 33 days.", "港の灯台は1876年に建てられた。", "   "],
 )
 def test_articles_are_kept(text):
-    assert not R.is_whole_residue(R.body_lines(text, None))
+    assert not S.is_whole_residue(S.body_lines(text, None))
 
 
 DOCS = "doc_id bigint, text string, title string, label string"
@@ -96,14 +97,14 @@ def test_empty_table(spark):
 
 def filler(rng, size=200):
     """A text of which just enough is Latin filler, and one that has four words less of it and shares 176 of 216 shingles."""
-    latin = sorted(R.LATIN)
+    latin = sorted(S.LATIN)
     other = ["".join(rng.choice(list("bcdfghkz"), 9)) for _ in range(size // 5 + 4)]
     words = [str(w) for w in rng.choice(latin, size)]
     for i, at in enumerate(rng.permutation(size)[: size // 5]):
         words[at] = other[i]
     near = list(words)
     for i, at in enumerate((20, 60, 100, 140)):
-        at = next(j for j in range(at, size) if near[j] in R.LATIN)
+        at = next(j for j in range(at, size) if near[j] in S.LATIN)
         near[at] = other[size // 5 + i]
     return " ".join(words), " ".join(near)
 
@@ -113,7 +114,7 @@ def test_every_link_of_the_least_similarity_is_found(spark):
 
     rng = np.random.default_rng(3)
     texts = [filler(rng) for _ in range(40)]
-    assert all(R.is_whole_residue([a]) and not R.is_whole_residue([b]) for a, b in texts)
+    assert all(S.is_whole_residue([a]) and not S.is_whole_residue([b]) for a, b in texts)
     docs = spark.createDataFrame([(2 * i + j, t, None, None) for i, pair in enumerate(texts) for j, t in enumerate(pair)], DOCS)
     got = {r.doc_id: r.label for r in R.residue(docs).collect()}
     assert got == {2 * i + j: ("whole", "linked")[j] for i in range(40) for j in range(2)}
@@ -129,7 +130,8 @@ def test_prefix_join_meets_what_brute_force_finds(spark):
         a = [int(x) for x in rng.integers(0, 2**64, n, dtype=np.uint64)]
         drop, add = rng.integers(0, n // 6 + 1), rng.integers(0, n // 6 + 1)
         sets[i], sets[i + 1] = set(a), set(a[drop:]) | {int(x) for x in rng.integers(0, 2**64, add, dtype=np.uint64)}
-    rows = [(i, str(i), len(s), R.prefix(list(s))) for i, s in sets.items() if s]
+    signed = lambda s: sorted(h - (1 << 64) if h >> 63 else h for h in s)
+    rows = [(i, str(i), len(s), R.prefix(signed(s))) for i, s in sets.items() if s]
     df = spark.createDataFrame(rows, "doc_id bigint, body string, shingled bigint, prefix array<bigint>")
     met = {(r.a, r.b) for r in R.sharing(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")).collect()}
     want = {(str(i), str(j)) for i in sets if i % 2 == 0 for j in sets if j % 2 and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
@@ -139,7 +141,50 @@ def test_prefix_join_meets_what_brute_force_finds(spark):
 def test_long_tracebacks():
     frames = "".join(f'  File "/srv/app/part{i}.py", line {i + 3}, in step{i}\n    value = self.load(name, {i}) + other.find(key)\n    ^^^^^^^\n' for i in range(30))
     page = f"Selholm\nTraceback (most recent call last):\n{frames}KeyError: 'a'\n\nDuring handling of the above exception, another exception occurred:\n\nTraceback (most recent call last):\n{frames}app.errors.LoadError: no such part\n"
-    assert R.is_whole_residue(R.body_lines(page, "Selholm"))
-    assert R.is_whole_residue(R.body_lines(page + "Please try again later.", "Selholm"))
-    assert not R.is_whole_residue(R.body_lines(page + ART, "Selholm"))
-    assert not R.is_whole_residue(R.body_lines(f"{ART}\n{page}", None))
+    assert S.is_whole_residue(S.body_lines(page, "Selholm"))
+    assert S.is_whole_residue(S.body_lines(page + "Please try again later.", "Selholm"))
+    assert not S.is_whole_residue(S.body_lines(page + ART, "Selholm"))
+    assert not S.is_whole_residue(S.body_lines(f"{ART}\n{page}", None))
+
+
+@pytest.mark.parametrize("few", [R.FEW, 0])
+def test_company_tells_kinds_that_no_seed_knows(spark, monkeypatch, few):
+    """Half of the notices are in a language without seeds; those that come with known ones are learnt, however they come later."""
+    monkeypatch.setattr(R, "FEW", few)
+    unknown = ["Tämä sivu vaatii selaimen komentosarjat.", "Sivua ei löytynyt palvelimelta tänään.", "Yhteys katkesi, yritä myöhemmin uudelleen.", "Istuntosi on vanhentunut, kirjaudu taas.", "Huoltokatko on käynnissä juuri nyt."]
+    known = ["You need to enable JavaScript to run this app.", "Error 503: the server could not complete your request.", "Please try again in 4 minutes and reload this page.", "Access denied. You do not have permission to view this."]
+    docs, want = [], set()
+    for i in range(60):
+        u, k = unknown[i % 5], known[i % 4]
+        text = (f"Tower {i}\n{u}", f"{k} {u}", k, f"{u} {unknown[(i + 1) % 5]}")[i // 15]
+        docs.append((i, text, f"Tower {i}", None))
+        want.add(i)
+    docs += [(100 + i, f"{ART} {ART.replace('1802', str(1803 + i))} The keeper wrote of {i} sheep.", None, None) for i in range(10)]
+    docs += [(200 + i, f"{ART} {unknown[4]} The well was dug by {i} men in the year of the flood.", None, None) for i in range(2)]
+    got = {r.doc_id: r.label for r in R.residue(spark.createDataFrame(docs, DOCS)).collect()}
+    assert set(got) == want and sum(v == "linked" for v in got.values()) > 20  # articles that hold a notice are not residue
+
+
+def test_links_make_up_for_seeds_that_are_left_out(spark):
+    """Without the seeds of one concept, most of its pages are found by the company they keep in the test tables; nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "title")
+    full = {r.doc_id for r in R.residue(docs).collect()}
+    some = R.residue(docs, S.Seeds(("errors",))).collect()
+    got = {r.doc_id for r in some}
+    assert got <= full and len(got) >= 0.9 * len(full) and any(r.label == "linked" for r in some)
+
+
+def test_seeds_of_other_kinds_and_languages():
+    for text in (
+        "500 Internal Server Error. The server encountered an internal error and was unable to complete your request.", "Sorry, this app doesn't work properly without scripts enabled.", "Per visualizzare questa pagina è necessario abilitare JavaScript.",
+        "Страница не найдена. Запрашиваемая страница не существует.", "Notice: Undefined variable: title in /var/www/index.php on line 12", "Verifying you are human. This may take a few seconds.", "The service is temporarily overloaded.",
+        "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium", "このページを表示するにはJavaScriptを有効にしてください。",
+    ):
+        assert S.is_whole_residue(S.body_lines(text, None)), text
+    assert S.has_placeholder("Dear [CUSTOMER NAME], hello") and S.has_placeholder("Dear {{first_name}}")
+    long = "You need to enable JavaScript to " + "run this part of the page and " * 40 + "go on."
+    assert S.is_whole_residue([long])
+
+
+def test_needed_strings():
+    assert S.needed("(ab|cde)x?") == {"ab", "cde"} and S.needed("x{3,}") == {"xxx"} and S.needed(r"\d+") is None and S.needed("(a|)b?") is None
