@@ -106,10 +106,10 @@ def shingle_hashes(hashes, sizes) -> list:
     total, have = np.zeros(len(hashes), dtype=np.uint64), len(hashes)
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(have)  # words from here to the end of the sequence
-    for j in range(SHINGLE):
+    for j in range(min(SHINGLE, have)):
         here = np.zeros(have, dtype=np.uint64)
         here[: have - j] = hashes[j:]
-        total = total * np.uint64(0x9E3779B97F4A7C15) + np.where(left > j, here, np.uint64(0))
+        total = np.where(left > j, total * np.uint64(0x9E3779B97F4A7C15) + here, total)
     keep = (left >= SHINGLE) | (np.repeat(np.minimum(sizes, SHINGLE), sizes) == left)
     owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
     found = _mixed(total[keep]).astype(np.int64)

@@ -188,3 +188,14 @@ def test_seeds_of_other_kinds_and_languages():
 
 def test_needed_strings():
     assert S.needed("(ab|cde)x?") == {"ab", "cde"} and S.needed("x{3,}") == {"xxx"} and S.needed(r"\d+") is None and S.needed("(a|)b?") is None
+
+
+def test_shingles_of_short_and_long_bodies():
+    import numpy as np
+
+    words = [list("abcdefg"), ["x"], list("abcd"), list("abcde"), ["x"]]
+    flat, sizes = R.word_hashes([w for x in words for w in x]), np.array([len(x) for x in words])
+    together = R.shingle_hashes(flat, sizes)
+    alone = [R.shingle_hashes(R.word_hashes(x), np.array([len(x)]))[0] for x in words]
+    assert [len(x) for x in together] == [3, 1, 1, 1, 1] and all((a == b).all() for a, b in zip(together, alone, strict=True))
+    assert together[1] == together[4] and together[3][0] in together[0] and R.simhash(together) == [R.simhash([x])[0] for x in alone]
