@@ -48,12 +48,39 @@ def test_against_plain_python(spark):
     assert {tuple(x) for x in termfreq.find(states(spark, cases())).collect()} == {(t, b) for t, _, _, b in brute(cases()) if b != "useful"}
 
 
-def test_oversized_partitions_are_split_again(spark):
+def test_oversized_partitions_are_split_again(spark, tmp_path):
     got = {tuple(x) for x in termfreq.bands(states(spark, cases()), leaf_bytes=700).collect()}
     assert got == brute(cases())
-    rows = termfreq.entries(termfreq.shards(states(spark, cases()))).where("term IS NOT NULL")
-    deep = termfreq.leaves(rows, leaf_bytes=700)
-    assert len(deep) > 32 and any("-1-" in f for f in deep)
+    df = states(spark, cases())
+    rows = termfreq.entries(df, termfreq.shards(df)).where("term IS NOT NULL")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("split", "split")
+    deep = termfreq.leaves(rows, f"file://{tmp_path}/radix", leaf_bytes=700)
+    jobs = len(tracker.getJobIdsForGroup("split"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    levels = {int(f.split("level=")[1].split("/")[0]) for f, _ in deep}
+    assert len(deep) > 32 and max(levels) >= 2
+    assert jobs <= 6 * (max(levels) + 1)  # a number of jobs for each level, not for each partition
+
+
+def test_shards_sent_again_at_one_time_count_once(spark):
+    rows = [(1, 10, 10, {"a": 1}, {"a": 4}, {"a": 5}, 3)] * 5 + [(1, 10, 10, {"a": 1}, {"a": 9}, {"a": 9}, 2), (None, 3, 3, {"b": 1}, {"b": 1}, None, None)]
+    assert {tuple(x) for x in termfreq.bands(states(spark, rows)).collect()} == {("a", 4, 5, "common"), ("b", 1, 0, "rare")}
+
+
+def test_leaves_are_put_together():
+    got = termfreq.together([("a", 5), ("b", 5), ("c", 50), ("d", 1)], 12, 1)
+    assert got == [["a", "b"], ["c"], ["d"]] and termfreq.together([("a", 1), ("b", 1)], 100, 8) == [["a"], ["b"]]
+
+
+def test_work_folders_are_removed(spark):
+    import glob
+    import os
+
+    from siftline.plans.shared import shared_dir
+
+    termfreq.bands(states(spark, cases())).count()
+    assert not glob.glob(os.path.join(shared_dir(spark).removeprefix("file://"), "siftline-radix-*"))
 
 
 def test_empty_tables(spark):
