@@ -1,17 +1,22 @@
 """The most similar vectors of every vector: balanced posting lists.
 
 * A bounded sample (``SAMPLE`` rows, chosen by hash) is split again and again by k-means into parts of nearly equal size;
-  the parts' centres are the lists' centroids, at most ``LISTS`` of them (a few MB), about one for ``LIST_ROWS`` vectors.
+  the parts' centres are the lists' centroids: one for ``LIST_ROWS`` vectors, at most one for ``SAMPLE_ROWS`` rows of the sample.
 * The centroids form a graph in memory (nearest neighbours of each, entered through a few hubs); a beam search over it finds
   the lists near a vector, for a batch of vectors at a time.
 * Every vector is indexed: in its nearest list, and on a boundary also in the others whose distance is at most
   ``1 + POST`` times the nearest one's, leaving out a list that is nearer to one already taken than to the vector.
 * As a query, a vector looks into the lists within ``1 + PROBE`` times the nearest distance. Each list is one group: blocks
   of queries against its postings, by matrix product, and the best k of every query from all its lists.
-
-Vectors with equal content are indexed once with their smallest ids; their members are put back at the end, so a vector that
-a third of all rows repeat is one posting. Ties go to the smaller id. Null, all-zero, non-finite vectors and those of another
-size take no part; a point sent again counts once (the last sent); empty tables give an empty result.
+* Where there are more vectors than the sample holds, a list can grow: its size is estimated from the sample, and one over
+  ``PART_ROWS`` is cut into parts by hash. A posting is in one part, a query looks into all of them, so nothing is lost.
+  ``exact=True`` has every query look into every list (cut into such parts): brute force, for collections that bear it.
+
+Points are numbers in the order of their ids until the end, and between tasks a vector moves as 16-bit whole numbers of its
+largest component (a cosine changes by about a millionth). Vectors with equal content are indexed once, with the smallest number
+of them; the others are put back at the end, so a vector that a third of all rows repeat is one posting. Ties go to the smaller
+id. Null, all-zero, non-finite vectors and those of another size take no part; a point sent again counts once (the last sent);
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,26 +28,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftline.plans.shared import cut
+from siftline.plans.shared import cut, small
 
 DIMENSIONS = 64
-SAMPLE, LISTS, LIST_ROWS = 60_000, 16_384, 192
-POST, PROBE, REPLICAS, PROBES = 0.25, 0.30, 8, 12
+SAMPLE, SAMPLE_ROWS, LIST_ROWS, PART_ROWS = 60_000, 4, 512, 20_000
+POST, PROBE, REPLICAS, PROBES = 0.12, 0.30, 4, 6
 DEGREE, BEAM = 16, 24
+#: Rows of two numbers up to which a table is sent to every task.
+FEW = 500_000
 
 
-def usable(points: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``point_id, dense`` of every point that takes part, once."""
+def _vectors(points: DataFrame, dimensions: int) -> DataFrame:
+    """``point_id, dense, embedded_at, h, g``: the rows that may take part, with 128 bits of hash of the vector."""
     good = (F.size("dense") == dimensions) & F.forall("dense", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("dense", lambda x: x != 0)
     kept = points.where(F.col("point_id").isNotNull() & F.col("dense").isNotNull() & good)
-    return kept.groupBy("point_id").agg(F.max_by("dense", F.struct("embedded_at", "dense")).alias("dense"))
+    return kept.select("point_id", "dense", "embedded_at", F.xxhash64("dense").alias("h"), F.xxhash64(F.lit(7), "dense").alias("g"))
+
+
+def usable(points: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``no, point_id, first, copies, h, g, sent``: every point that takes part, numbered in the order of ids; ``first`` is the number
+    of the first point with the same vector, ``sent`` how often the point came with it. Vectors don't move: hashes stand for them."""
+    each = _vectors(points, dimensions).groupBy("point_id", "h", "g").agg(F.max("embedded_at").alias("at"), F.count(F.lit(1)).alias("sent"))
+    last = each.groupBy("point_id").agg(F.max(F.struct("at", "h", "g", "sent")).alias("c"))
+    numbered = cut(last.select("point_id", "c.h", "c.g", "c.sent").orderBy("point_id").withColumn("no", F.monotonically_increasing_id()))
+    again = numbered.groupBy("h", "g").agg(F.min("no").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    known = numbered.join(small(again, FEW), ["h", "g"], "left")
+    return cut(known.select("no", "point_id", F.coalesce("first", "no").alias("first"), F.coalesce("copies", F.lit(1)).alias("copies"), "h", "g", "sent"))
 
 
-def distinct_vectors(points: DataFrame, k: int) -> DataFrame:
-    """Each different vector with its ``k + 1`` smallest ids (``key, ids, copies, dense``); the ranking is limited before the shuffle."""
-    ranked = points.withColumn("_r", F.row_number().over(W.partitionBy("dense").orderBy("point_id"))).where(F.col("_r") <= k + 1)
-    first = ranked.groupBy("dense").agg(F.array_sort(F.collect_list("point_id")).alias("ids"))
-    return first.select(F.col("ids")[0].alias("key"), "ids", F.size("ids").alias("copies"), "dense")
+def classes(points: DataFrame, members: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``key, raw``: the different vectors, as bytes of 16-bit numbers. This is where vectors move: those of points that were sent
+    again, after a first choice in each task, and all if the table of points isn't small."""
+    first = small(members.where("no = first").select(F.col("no").alias("key"), "point_id", "h", "g", "sent"), FEW)
+    found = _vectors(points, dimensions).drop("embedded_at").join(first, ["point_id", "h", "g"]).select("key", "sent", "dense")
+    once, again = found.where("sent = 1").select("key", "dense"), found.where("sent > 1").groupBy("key").agg(F.first("dense").alias("dense"))
+    return once.unionByName(again).select("key", _pack("dense").alias("raw"))
 
 
 def split_evenly(x: np.ndarray, parts: int, rng: np.random.Generator, branch: int = 8) -> np.ndarray:
@@ -143,118 +163,146 @@ _GRAPHS: dict[str, CentroidGraph] = {}
 
 
 def _unit(raw: list) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1).astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
+    x = np.frombuffer(b"".join(raw), dtype=np.int16).reshape(len(raw), -1).astype(np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> CentroidGraph:
-    """The centroids' graph, from the bounded sample of rows with the smallest hashes."""
-    n = vectors.count()
-    share = min(1.0, sample / max(n, 1))
-    cut_at = max(-(2**63), min(2**63 - 1, int((2 * share - 1) * 2**63)))
-    rows = vectors.where(F.xxhash64("key") <= F.lit(cut_at)).select("raw").limit(2 * sample).toPandas()  # about `sample` rows; the limit only guards the driver
-    if not len(rows):
-        rows = vectors.select("raw").limit(sample).toPandas()
-    if not len(rows):
-        return CentroidGraph(np.eye(1, DIMENSIONS, dtype=np.float32))
-    parts = int(min(LISTS, max(1, n // LIST_ROWS), max(1, len(rows) // 4)))
-    return CentroidGraph(split_evenly(_unit(list(rows["raw"])), parts, np.random.default_rng(11)))
-
-
 def _pack(dense):
-    """A vector as bytes, which move faster than arrays."""
+    """A vector as bytes: of its direction, the largest component being 32,767."""
 
     @F.pandas_udf("binary")
     def pack(values):
-        return values.map(lambda v: np.asarray(v, dtype=np.float32).tobytes())
+        import pandas as pd
+
+        if not len(values):
+            return pd.Series([], dtype="object")
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in values])
+        x = np.rint(x / np.abs(x).max(1, keepdims=True) * 32_767).astype(np.int16)
+        return pd.Series([v.tobytes() for v in x])
 
     return pack(dense)
 
 
-def postings(vectors: DataFrame, graph: CentroidGraph) -> DataFrame:
-    """``list, key, raw, held, asks``: a row for each list that holds a vector or that it looks into."""
-    shared, token = vectors.sparkSession.sparkContext.broadcast((graph.c, graph.links, graph.hubs)), uuid.uuid4().hex
+def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> tuple[CentroidGraph, np.ndarray]:
+    """The centroids' graph, from the bounded sample of rows with the smallest hashes, and the number of parts of each list."""
+    share = min(1.0, sample / max(n, 1))
+    cut_at = max(-(2**63), min(2**63 - 1, int((2 * share - 1) * 2**63)))
+    rows = vectors.where(F.xxhash64("key") <= F.lit(cut_at)).select("raw").limit(2 * sample).toPandas()  # about `sample` rows; the limit only guards the driver
+    if not len(rows):
+        return CentroidGraph(np.eye(1, DIMENSIONS, dtype=np.float32)), np.ones(1, dtype=np.int64)
+    x = _unit(list(rows["raw"]))
+    lists = int(max(1, min(n // LIST_ROWS, len(x) // SAMPLE_ROWS)))
+    graph = CentroidGraph(split_evenly(x, lists, np.random.default_rng(11)))
+    parts = np.ones(len(graph.c), dtype=np.int64)
+    if n > len(x):
+        held = np.zeros(len(graph.c))
+        for at in range(0, len(x), 1000):
+            ids, post, _ = graph.lists(x[at : at + 1000])
+            np.add.at(held, ids[post], 1)
+        parts = np.maximum(1, np.ceil(held * (n / len(x)) / PART_ROWS)).astype(np.int64)
+    return graph, parts
+
+
+def postings(vectors: DataFrame, graph: CentroidGraph, parts: np.ndarray, exact: bool = False) -> DataFrame:
+    """``list, part, key, raw, use``: a row for each part of a list that holds a vector (1), that it looks into (2), or both (3)."""
+    shared, token = vectors.sparkSession.sparkContext.broadcast((graph.c, graph.links, graph.hubs, parts)), uuid.uuid4().hex
 
     def run(batches):
         import pandas as pd
 
+        parts = shared.value[3]
         if token not in _GRAPHS:
             _GRAPHS.clear()
             g = object.__new__(CentroidGraph)
-            g.c, g.links, g.hubs = shared.value
+            g.c, g.links, g.hubs = shared.value[:3]
             _GRAPHS[token] = g
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 ids, post, probe = _GRAPHS[token].lists(_unit(list(part["raw"])))
+                if exact:
+                    near, ids = ids, np.broadcast_to(np.arange(len(parts)), (len(part), len(parts)))
+                    post = ids == near[:, :1]
+                    probe = np.ones_like(post)
                 i, j = np.nonzero(post | probe)
-                yield pd.DataFrame({"list": ids[i, j].astype("int32"), "key": part["key"].to_numpy()[i], "raw": part["raw"].to_numpy()[i], "held": post[i, j], "asks": probe[i, j]})
+                name, many = ids[i, j], parts[ids[i, j]]
+                keys = part["key"].to_numpy()[i]
+                own = (keys * 0x9E3779B1 >> 7) % many
+                again = np.where(probe[i, j], many, 1)
+                row = np.repeat(np.arange(len(i)), again)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(again) - again, again)
+                at_part = np.where(probe[i, j][row], step, own[row])
+                use = np.where(post[i, j][row] & (at_part == own[row]), 1, 0) + np.where(probe[i, j][row], 2, 0)
+                yield pd.DataFrame({"list": name[row].astype("int32"), "part": at_part.astype("int32"), "key": keys[row], "raw": part["raw"].to_numpy()[i][row], "use": use.astype("int8")})
 
-    return vectors.select("key", "raw").mapInPandas(run, "list int, key string, raw binary, held boolean, asks boolean")
+    return vectors.select("key", "raw").mapInPandas(run, "list int, part int, key bigint, raw binary, use tinyint")
 
 
 def _best_of_list(k: int, least: float):
     def run(pdf):
         import pandas as pd
 
-        held = pdf[pdf["held"]].sort_values("key")
-        asks = pdf[pdf["asks"]]
+        held = pdf[(pdf["use"] & 1) > 0].sort_values("key")
+        asks = pdf[(pdf["use"] & 2) > 0]
         out_q, out_p, out_s = [], [], []
         if len(held) and len(asks):
             p, names = _unit(list(held["raw"])), held["key"].to_numpy()
-            place = {name: i for i, name in enumerate(names)}
             for at in range(0, len(asks), 1024):
                 block = asks.iloc[at : at + 1024]
                 q, own = _unit(list(block["raw"])), block["key"].to_numpy()
                 near = q @ p.T
-                for i, name in enumerate(own):
-                    if name in place:
-                        near[i, place[name]] = -np.inf
+                place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                mine = np.flatnonzero(names[place] == own)
+                near[mine, place[mine]] = -np.inf
                 # more than k are looked at, as single precision may turn the order of nearly equal ones
                 m = min(k + 3, near.shape[1])
                 best = np.argpartition(-near, m - 1, axis=1)[:, :m]
                 i, j = np.nonzero(np.take_along_axis(near, best, 1) >= least - 1e-4)
                 j = best[i, j]
                 exact = np.maximum(np.einsum("nd,nd->n", q[i].astype(np.float64), p[j].astype(np.float64)), -1.0)
-                order = np.lexsort((j, -exact, i))  # the list's names are sorted
+                order = np.lexsort((j, -exact, i))  # the list's numbers are in order
                 i, j, exact = i[order], j[order], exact[order]
                 top = np.arange(len(i)) - np.searchsorted(i, i) < k
                 out_q.append(own[i[top]])
                 out_p.append(names[j[top]])
                 out_s.append(exact[top])
         if not out_q:
-            return pd.DataFrame({"key": [], "other": [], "similarity": []})
+            return pd.DataFrame({"key": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         return pd.DataFrame({"key": np.concatenate(out_q), "other": np.concatenate(out_p), "similarity": np.concatenate(out_s)})
 
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int, least: float) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, n: int, k: int, least: float, exact: bool = False) -> DataFrame:
     """``key, other, similarity``: of every different vector the k most similar others of at least ``least``."""
-    graph = fit(vectors)
-    found = postings(vectors, graph).groupBy("list").applyInPandas(_best_of_list(k, least), "key string, other string, similarity double")
+    graph, parts = fit(vectors, n)
+    found = postings(vectors, graph, parts, exact).groupBy("list", "part").applyInPandas(_best_of_list(k, least), "key bigint, other bigint, similarity double")
     # one shuffle by key serves the grouping and the ranking
     once = found.repartition("key").groupBy("key", "other").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbours(points: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
+def neighbours(points: DataFrame, k: int = 5, least: float = 0.85, exact: bool = False) -> DataFrame:
     """``point_id, other_id, similarity``: of every point the k most similar other points of at least ``least``; -1 leaves none out."""
-    members = cut(usable(points))
-    classes = cut(distinct_vectors(members, k).withColumn("raw", _pack("dense")))
-    near = nearest_vectors(classes.select("key", "raw"), k, least)
-    # other vectors, each with all the points that may count, for the few copies that lack k among themselves
-    few = classes.where(F.col("copies") <= k).select("key", "ids", "copies")
-    other = near.join(classes.select(F.col("key").alias("other"), F.col("ids").alias("other_ids")), "other")
-    each = other.select("key", "similarity", F.explode("other_ids").alias("other_id"))
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other_id"))
-    ranked = each.withColumn("_r", rank).where(F.col("_r") <= k).join(few, "key").where(F.col("_r") <= k - (F.col("copies") - 1))
-    outside = ranked.select(F.explode("ids").alias("point_id"), "other_id", "similarity")
-    same = classes.where("copies > 1").select("dense", "ids")
-    copies = members.join(same, "dense").select("point_id", F.explode(F.slice(F.array_except("ids", F.array("point_id")), 1, k)).alias("other_id"), F.lit(1.0).alias("similarity"))
-    return outside.unionByName(copies)
+    members = usable(points)
+    count = members.agg(F.count_if(F.col("no") == F.col("first")).alias("n")).first().n
+    near = nearest_vectors(classes(points, members), count, k, least, exact)
+    # of points with the same vector the first k + 1 can count, and only the few that lack k among themselves look at other vectors
+    rank = F.row_number().over(W.partitionBy("first").orderBy("no"))
+    alike = members.where("copies > 1").select("first", "no", "copies").withColumn("_r", rank).where(F.col("_r") <= k + 1)
+    groups = cut(alike.groupBy("first").agg(F.array_sort(F.collect_list("no")).alias("nos"), F.first("copies").alias("copies")))
+    sent = small(groups, FEW)
+    listed = near.join(sent.select(F.col("first").alias("other"), F.col("nos").alias("other_nos")), "other", "left").join(sent.select(F.col("first").alias("key"), "nos", "copies"), "key", "left")
+    each = listed.where(F.coalesce("copies", F.lit(1)) <= k).select("key", "similarity", "nos", "copies", F.explode(F.coalesce("other_nos", F.array("other"))).alias("other"))
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
+    ranked = each.withColumn("_r", place).where(F.col("_r") <= k - F.coalesce("copies", F.lit(1)) + 1)
+    outside = ranked.select(F.explode(F.coalesce("nos", F.array("key"))).alias("no"), "other", "similarity")
+    repeated = members.where("copies > 1").select("no", "first").join(sent.select("first", "nos"), "first")
+    copies = repeated.select("no", F.explode(F.slice(F.array_except("nos", F.array("no")), 1, k)).alias("other"), F.lit(1.0).alias("similarity"))
+    names = small(members.select("no", "point_id"), FEW)
+    both = outside.unionByName(copies).join(names, "no").join(names.select(F.col("no").alias("other"), F.col("point_id").alias("other_id")), "other")
+    return both.select("point_id", "other_id", "similarity")
 
 
 def pairs(points: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:

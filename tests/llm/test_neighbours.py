@@ -19,7 +19,7 @@ def brute(points, k=5, least=0.85):
     np.fill_diagonal(s, -np.inf)
     pairs = set()
     for i, name in enumerate(names):
-        for j in sorted(range(len(names)), key=lambda j: (-round(s[i, j], 9), names[j]))[:k]:
+        for j in np.argsort(-np.round(s[i], 9), kind="stable")[:k]:  # the names are in order
             if s[i, j] >= least:
                 pairs.add(tuple(sorted((name, names[j]))))
     return pairs
@@ -51,10 +51,40 @@ def test_hard_spread_reaches_the_recall_asked_for(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def indexed(spark, x):
+    points = frame(spark, [(f"p{i:05}", v, 1) for i, v in enumerate(x)])
+    members = N.usable(points)
+    return N.classes(points, members), members.count()
+
+
 def test_every_vector_is_indexed(spark):
-    v = frame(spark, [(f"p{i}", x, 1) for i, x in enumerate(clustered(700))]).selectExpr("point_id key", "dense").withColumn("raw", N._pack("dense")).select("key", "raw")
-    posted = N.postings(v, N.fit(v)).where("held")
-    assert posted.select("key").distinct().count() == 700
+    v, n = indexed(spark, clustered(700))
+    posted = N.postings(v, *N.fit(v, n)).where("use % 2 = 1")
+    assert n == 700 and posted.select("key").distinct().count() == 700
+
+
+def test_a_hot_region_of_unequal_vectors_is_cut_into_parts(spark, monkeypatch):
+    """Half of all vectors are near one point; the sample holds a few, so their lists outgrow the limit and are cut, losing nothing."""
+    monkeypatch.setattr(N, "SAMPLE", 400)
+    monkeypatch.setattr(N, "PART_ROWS", 40)
+    rng = np.random.default_rng(8)
+    x = np.vstack([clustered(600, 3), rng.standard_normal(64) + 0.3 * rng.standard_normal((500, 64))])
+    v, n = indexed(spark, x)
+    graph, parts = N.fit(v, n, 400)
+    posted = N.postings(v, graph, parts).toPandas()
+    sizes = posted[posted.use % 2 == 1].groupby(["list", "part"]).size()
+    assert parts.max() > 3 and sizes.max() < 4 * 40
+    points = {f"p{i:05}": v for i, v in enumerate(x)}
+    got = {tuple(r) for r in N.pairs(frame(spark, [(p, v, 1) for p, v in points.items()])).collect()}
+    want = brute(points)
+    assert len(got & want) / len(want) > 0.9
+
+
+def test_exact_mode_is_brute_force(spark):
+    points = {f"p{i:05}": v for i, v in enumerate(np.random.default_rng(6).standard_normal((600, 64)))}
+    got = {tuple(r) for r in N.neighbours(frame(spark, [(p, v, 1) for p, v in points.items()]), least=-1.0, exact=True).select(N.F.least("point_id", "other_id"), N.F.greatest("point_id", "other_id")).collect()}
+    want = brute(points, least=-1)
+    assert len(got ^ want) <= 4  # nearly equal similarities may change places by a millionth
 
 
 def test_unusable_and_resent_points(spark):
