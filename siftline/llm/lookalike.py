@@ -2,13 +2,17 @@
 
 *Strings and code points* that look alike are joined by union-find, transitively: a character of another width or
 presentation form with what it stands for, a letter and its detached accent with the composed letter, invisible characters
-with nothing, spaces with the plain space, and letters of other scripts with the Latin letters they imitate. Each class has a
-representative, chosen by frequency: of the members in ordinary form, the one most frequent in the corpus (counted over all
-texts; ties go to the smaller code point). A multi-pattern automaton then rewrites every text greedily, always at the
-leftmost longest match.
+with nothing, spaces with the plain space (all from the Unicode data), letters of other scripts with the Latin letters they
+imitate, and Latin letters of one shape with each other (capital i and small l, o and O, ...). A multi-pattern automaton over
+all of these rewrites every text greedily, always at the leftmost longest match.
 
-Letters of other scripts are only rewritten inside a word that holds Latin letters, with the class's Latin member; words
-wholly in another script stay. Composed accents, quotation marks and dashes of any shape, ``×`` and ``°`` stay.
+The representative of an imitating letter is chosen by frequency. Of each different word that mixes it with Latin letters, the
+words are made that come of putting the class's Latin members in its place; the member whose words are most frequent in the
+corpus stands for the letter (ties: the letter's own shape). A letter that no class holds is learnt in the same way from all
+Latin letters: if at least ``SUPPORT`` words of four letters or more point to one with a share of ``SHARE``, it joins its class.
+
+Letters of other scripts are only rewritten inside a word that holds Latin letters; words wholly in another script stay.
+Composed accents, quotation marks and dashes of any shape, ``×`` and ``°`` stay.
 
 Null texts give no row; empty texts and texts of plain ASCII are unchanged (no pattern is ASCII, so those never reach
 Python). Null list elements keep their position.
@@ -17,29 +21,42 @@ Python). Null list elements keep their position.
 from __future__ import annotations
 
 import re
+import string
 import sys
 import unicodedata
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.plans.shared import cut
+
 #: Letters of other scripts and the Latin letters they imitate.
 IMITATIONS = {
-    "Cyrillic": ("аеорсухіјѕһԛԝӏвкмнтАВЕКМНОРСТУХІЈЅԚԜӀҮү", "aeopcyxijshqwlbkmhtABEKMHOPCTYXIJSQWIYy"),
+    "Cyrillic": ("аеорсухіјѕһԛԝӏвкмнтАВЕКМНОРСТУХІЈЅԚԜӀҮүԁѡԍѵԌѴ", "aeopcyxijshqwlbkmhtABEKMHOPCTYXIJSQWIYydwGvGV"),
     "Greek": ("αονρικυτγχηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳϲϹΓ", "aovpikutyxnABEZHIKMNOPTYXjcCr"),
     "Armenian": ("օսոհցգՕՍԼ", "ounhgqOUL"),
+    "Coptic": ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲨⲟⲣⲥ", "BHIKMNOPCTXYopc"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiyAJEWMHYGhZbRWSVSLCPKdGB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Canadian": ("ᐯᑌᑭᑯᑕᒍᒪᕼᖇᗅᗞᗰᗷ᙭", "VUPdCJLHRADMBX"),
     "Latin": ("ıɑɡ", "iag"),
 }
+#: Latin letters of one shape. Fixed values.
+SHAPES = ("Il", "Oo", "Cc", "Ss", "Vv", "Ww", "Xx", "Zz", "Uu")
+SUPPORT, SHARE = 3, 0.8
 #: Compatibility decompositions that are another width or presentation form of a letter, digit or sign.
 FORMS = ("<wide>", "<narrow>", "<font>", "<small>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<circle>")
 #: Invisible besides the characters of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 #: Accents are these marks; other scripts need theirs.
 ACCENT = re.compile("[̀-ͯ᪰-᫿᷀-᷿]")
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
+#: Letters beyond Latin that a word can be mixed with (alphabets and syllabaries before the ideographs, and those after them).
+FOREIGN = re.compile("[ɐ-ʯͰ-᷿Ⰰ-⷟꓀-ꭿ\U00010000-\U0001efff\u2160-\u2188]")
+WORD = re.compile(r"[^\W_]+(?:[̀-ͯ][^\W_]*)*")
 
 
 class UnionFind:
@@ -73,6 +90,7 @@ def _quote_or_dash(text: str) -> bool:
 def edges() -> tuple[dict[str, str], dict[str, str]]:
     """Pairs (string, what it looks like): those that hold anywhere, and letters of other scripts."""
     anywhere: dict[str, str] = {}
+    forms: dict[str, str] = {}
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         category = unicodedata.category(c)
@@ -99,79 +117,144 @@ def edges() -> tuple[dict[str, str], dict[str, str]]:
                         anywhere[apart] = c
                         if len(two := unicodedata.normalize("NFC", apart[:-1]) + apart[-1]) < len(apart):
                             anywhere[two] = c
-    imitated = {a: b for other, latin in IMITATIONS.values() for a, b in zip(other, latin, strict=True)}
-    return anywhere, imitated
+            elif tag == "<compat>" and len(plain) == 1 and plain in string.ascii_letters and c != "ſ":
+                forms[c] = plain  # as the small roman numeral fifty
+        elif (name := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28 and code >= 0x1D00:
+            forms[c] = name[-1].lower()
+    return anywhere, forms | {a: b for other, latin in IMITATIONS.values() for a, b in zip(other, latin, strict=True)}
+
+
+@lru_cache(1)
+def admissible() -> dict[str, tuple[str, ...]]:
+    """For each imitating letter the Latin letters of its class, its own shape first."""
+    anywhere, imitated = edges()
+    joined = UnionFind()
+    for a, b in (*anywhere.items(), *imitated.items(), *map(tuple, SHAPES)):
+        joined.join(a, b)
+    out = {}
+    for group in joined.classes().values():
+        latin = [x for x in group if len(x) == 1 and x in string.ascii_letters]
+        out |= {x: tuple(sorted(latin, key=lambda y, x=x: (y != imitated[x], y))) for x in group if x in imitated}
+    return out
 
 
-def frequencies(texts: DataFrame, column: str) -> DataFrame:
-    """How often each code point occurs over all texts (``member, n``); counted per partition before the small shuffle."""
+def mixed_words(texts: DataFrame, column: str) -> DataFrame:
+    """``word``: the different words of Latin and other letters."""
+    plain, _ = edges()
+    hidden = re.compile("[" + "".join(re.escape(c) for c, new in plain.items() if len(c) == 1 and new == "") + "]")
+
+    def run(batches):
+        import pandas as pd
 
-    def count(batches):
-        total: Counter = Counter()
         for pdf in batches:
-            for t in pdf[column]:
-                total.update(t)
+            found = set()
+            for text in pdf[column]:
+                if FOREIGN.search(text):
+                    found.update(w for w in WORD.findall(hidden.sub("", text)) if FOREIGN.search(w) and LATIN.search(w))
+            yield pd.DataFrame({"word": list(found)}).astype({"word": "object"})
+
+    return texts.select(column).where(F.col(column).rlike(r"[^\x00-\x{24f}]")).mapInPandas(run, "word string").distinct()
+
+
+def meant(words: DataFrame) -> DataFrame:
+    """``letter, latin, made, word``: for each other letter of a mixed word, each Latin letter it may stand for and the word that makes."""
+
+    def run(batches):
         import pandas as pd
 
-        yield pd.DataFrame({"member": list(total), "n": list(total.values())}).astype({"member": "object", "n": "int64"})
+        known = admissible()
+        for pdf in batches:
+            rows = []
+            for word in pdf["word"]:
+                for letter in set(FOREIGN.findall(word)):
+                    if letter not in known and (len(word) < 4 or unicodedata.category(letter) == "Lm"):
+                        continue
+                    some = known.get(letter) or (string.ascii_lowercase if letter.islower() else string.ascii_uppercase if letter.isupper() else string.ascii_letters)
+                    rest = "".join(known[c][0] if c != letter and c in known else c for c in word)
+                    rows += [(letter, x, made, word) for x in some if LATIN.search(made := rest.replace(letter, x)) and not FOREIGN.search(made)]
+            yield pd.DataFrame(rows, columns=["letter", "latin", "made", "word"])
+
+    return words.mapInPandas(run, "letter string, latin string, made string, word string")
 
-    odd = texts.select(column).where(F.col(column).rlike(r"[^\x00-\x7f]"))
-    return odd.mapInPandas(count, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n"))
 
+def votes(texts: DataFrame, column: str) -> dict[tuple[str, str], tuple[int, int]]:
+    """For each imitating letter and Latin letter how often the words it would make occur in the corpus, and how many of its words those are.
 
-def representatives(counts: dict[str, int]) -> tuple[dict[str, str], dict[str, str]]:
-    """The rewriting of each string: anywhere, and inside words of Latin letters. counts: of code points, at most all of Unicode's."""
+    At most 52 for each code point, whatever the corpus. The corpus is read again for the words made, and only if there are any.
+    """
+    asked = cut(meant(mixed_words(texts, column)))
+    if not asked.head(1):
+        return {}
+    made = asked.select("made").distinct()
+    key = F.broadcast(made) if made.limit(200_001).count() <= 200_000 else made
+    held = texts.select(F.explode(F.split(column, r"[^\p{L}]+")).alias("made")).join(key, "made").groupBy("made").agg(F.count(F.lit(1)).alias("n"))
+    counted = asked.join(held, "made").groupBy("letter", "latin").agg(F.sum("n").alias("n"), F.countDistinct("word").alias("words"))
+    return {(r.letter, r.latin): (r.n, r.words) for r in counted.toLocalIterator()}
+
+
+def representatives(counts: dict[tuple[str, str], tuple[int, int]]) -> tuple[dict[str, str], dict[str, str]]:
+    """The rewriting of each string: anywhere, and inside words of Latin letters."""
     anywhere, imitated = edges()
-    joined = UnionFind()
-    for a, b in (*anywhere.items(), *imitated.items()):
-        joined.join(a, b)
-    inside, out = {}, {}
-    n = lambda s: min((counts.get(c, 0) for c in s), default=0)
-    for group in joined.classes().values():
-        ordinary = [x for x in group if x not in anywhere]
-        latin = [x for x in ordinary if x not in imitated]
-        best = lambda xs: min(xs, key=lambda x: (-n(x), x))
-        for x in group:
-            if x in imitated:
-                inside[x] = best(latin or ordinary)
-            elif x in anywhere:
-                own = [y for y in ordinary if y == anywhere[x]] or latin or ordinary
-                out[x] = best(own)
-    return out, inside
+    inside = {x: max(some, key=lambda y: counts.get((x, y), (0, 0))[0]) for x, some in admissible().items()}  # the first of equals is its own shape
+    unknown = defaultdict(dict)
+    for (letter, latin), (n, words) in counts.items():
+        if letter not in imitated and letter not in anywhere and words >= SUPPORT:
+            unknown[letter][latin] = n
+    for letter, some in unknown.items():
+        best = min(some, key=lambda y: (-some[y], y))
+        if some[best] >= SHARE * sum(n for (x, _), (n, _) in counts.items() if x == letter):
+            inside[letter] = best
+    return anywhere, inside
 
 
 class Rewriter:
-    """The automaton over all strings that may be rewritten."""
+    """The automaton over all strings that may be rewritten; some only inside words that hold Latin letters."""
 
     def __init__(self, anywhere: dict[str, str], inside: dict[str, str]) -> None:
         import ahocorasick
 
-        self.inside = str.maketrans(inside)
-        self.letters = re.compile("[" + "".join(map(re.escape, sorted(inside))) + "]")
         self.automaton = ahocorasick.Automaton()
+        for a, b in inside.items():
+            self.automaton.add_word(a, (len(a), b, True))
         for a, b in anywhere.items():
-            self.automaton.add_word(a, (len(a), b))
+            self.automaton.add_word(a, (len(a), b, False))
         self.automaton.make_automaton()
         #: Every pattern holds one of these: it is one of them, or ends in an accent.
-        self.odd = {a[-1] for a in anywhere}
-        self.latin = re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
-
-    def _word(self, match: re.Match) -> str:
-        word = match.group()
-        return word.translate(self.inside) if self.latin.search(word) else word
+        self.odd = {a[-1] for a in (*anywhere, *inside)}
+        self.stands = {a: b for a, b in anywhere.items() if len(a) == 1 and (not b or b[0].isalpha())}
+        self.inside = inside
+
+    def _in_word(self, c: str) -> bool:
+        return c.isalpha() or c in self.stands or c in self.inside or "\u0300" <= c <= "\u036f"
+
+    def _word(self, text: str, at: int) -> tuple[int, bool]:
+        """Where the word at a place ends, and whether it holds a Latin letter, in whatever form."""
+        first, last = at, at
+        while first and self._in_word(text[first - 1]):
+            first -= 1
+        while last + 1 < len(text) and self._in_word(text[last + 1]):
+            last += 1
+        word = text[first : last + 1]
+        return last, bool(LATIN.search(word)) or any(LATIN.match(self.stands.get(c, "")) for c in word)
 
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
         if not self.odd.isdisjoint(text):
-            parts, at = [], 0
-            for end, (length, new) in self.automaton.iter_long(text):
+            parts, at, until, mixed = [], 0, -1, False
+            for end, (length, new, within) in self.automaton.iter_long(text):
+                if within or new in self.inside:  # an imitating letter may itself stand in another form
+                    if end > until:
+                        until, mixed = self._word(text, end)
+                    if within and not mixed:
+                        continue
+                    new = self.inside[new] if mixed and not within else new
                 parts += (text[at : end - length + 1], new)
                 at = end + 1
             text = "".join(parts) + text[at:]
         if ACCENT.search(text):  # accents that no single composed letter holds, in any order
             text = unicodedata.normalize("NFC", text)
-        return WORD.sub(self._word, text) if self.letters.search(text) else text
+        return text
 
 
 _REWRITERS: dict[str, Rewriter] = {}
@@ -186,12 +269,8 @@ def pieces(rows: DataFrame) -> DataFrame:
 
 
 def rewrite(texts: DataFrame, column: str, new: str = "rewritten") -> DataFrame:
-    """The rows whose text isn't plain ASCII, each with its text in one consistent form.
-
-    The counts that are gathered are of code points, so at most as many as Unicode has, whatever the corpus.
-    """
-    counts = {r.member: r.n for r in frequencies(texts, column).toLocalIterator()}
-    tables, key = texts.sparkSession.sparkContext.broadcast(representatives(counts)), uuid.uuid4().hex
+    """The rows whose text isn't plain ASCII, each with its text in one consistent form."""
+    tables, key = texts.sparkSession.sparkContext.broadcast(representatives(votes(texts, column))), uuid.uuid4().hex
     odd = texts.where(F.col(column).rlike(r"[^\x00-\x7f]"))
 
     @F.pandas_udf("string")

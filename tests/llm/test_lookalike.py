@@ -43,9 +43,32 @@ def test_classes_are_transitive():
     assert sorted(map(sorted, u.classes().values())) == [["a", "b", "c"], ["x", "y"]]
 
 
-def test_representatives_go_by_frequency_among_ordinary_forms():
-    out, inside = L.representatives({"а": 1000, "a": 1})
-    assert inside["а"] == "a" and out["ａ"] == "a"
+def test_other_scripts_and_forms(rewriter):
+    odd = "Ꭰog ꓡondon ⅼetter ⅰdea ᴄat ԁog ѡater Ԍreat ѵery Ꮪchool ᑭark ⲟld ｈеllo Ꮯity ꓚity ᗷook ᕼouse ᖇoad Ⲃook Ꮮake ꓠorth ꓪest cl\u200bоud ᴠan ꜱun"
+    plain = "Dog London letter idea cat dog water Great very School Park old hello City City Book House Road Book Lake North West cloud van sun"
+    assert [rewriter(w) for w in odd.split()] == plain.split()
+    for word in ("привет", "ΑΒΓ", "ᎠᎡᎢ", "β-carotene", "ⅻ", "Δt", "µm"):
+        assert rewriter(word) == word
+
+
+def texts(spark, *values):
+    return spark.createDataFrame([(str(i), t, None, None) for i, t in enumerate(values)], ROWS)
+
+
+@pytest.mark.parametrize("more, stands", [("london", "london"), ("Iondon", "Iondon")])
+def test_counts_of_the_corpus_choose_the_representative(spark, more, stands):
+    """One letter looks like capital i and like small l; the word that the corpus holds more often decides."""
+    df = texts(spark, "the city of Ӏondon", "london", "Iondon", *[f"to {more} again"] * 3)
+    got = {r.id: r.text for r in L.normalise(df).where("field = 'title'").collect()}
+    assert got["0"] == f"the city of {stands}"
+
+
+def test_letters_that_no_class_holds_are_learnt_from_words(spark):
+    """Three words with one strange letter make words that the corpus knows; another strange letter has no support and stays."""
+    df = texts(spark, "the riꓤer", "oꓤer seven bridges", "in ꓤ silꓤer dish", "a river of silver over all", "the тꓵo", "two")
+    got = {r.id: r.text for r in L.normalise(df).where("field = 'title'").collect()}
+    assert got["0"] == "the river" and got["1"] == "over seven bridges" and got["2"] == "in ꓤ silver dish"
+    assert {r.id for r in L.find(df).collect()} == {"0", "1", "2", "4"}  # т imitates t
 
 
 def test_find_and_normalise(spark):
