@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import MODES, EngineConfig
 from siftline.operators import chunking, dense, evaluate, fusion, generate, sparse
+from siftline.plans.shared import cut, small
 
 FIELDS = ("group_id", "text", "context_text", "title", "chunk_kind", "passage_types", "source_row_ordinal", "start_candidate_idx", "end_candidate_idx")
 
@@ -22,7 +23,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, points: DataFrame | None = None, weights: DataFrame | None = None, config: EngineConfig = EngineConfig(), reranker: Callable | None = None, client: Callable | None = None) -> None:
         self.spark, self.chunks, self.points, self.config, self.reranker, self.client = spark, chunks, points, config, reranker, client
-        self.weights = weights if weights is not None else sparse.index(chunks.select("chunk_id", "text"), config, key="chunk_id")
+        self.index = None if weights is not None else sparse.build(chunks.select("chunk_id", "text"), config, key="chunk_id")
+        self.weights = weights
 
     @classmethod
     def build(cls, spark: SparkSession, rows: DataFrame, config: EngineConfig = EngineConfig(), model: Callable | None = None, **more) -> Engine:
@@ -36,24 +38,39 @@ class Engine:
             points = dense.embed(texts, "_t", model, config.embed_batch).drop("_t")
         return cls(spark, chunks, points, config=config, **more)
 
-    def _lists(self, queries: DataFrame, mode: str, k: int) -> tuple[DataFrame, str]:
-        s = lambda: sparse.ranked(sparse.scores(sparse.query_terms(queries, self.config.analyzer), self.weights), k)
-        v = lambda: dense.topk(queries, dense.once(self.points), k, self.config.distance)
+    def _lists(self, queries: DataFrame, mode: str, k: int, known: dict | None = None) -> tuple[DataFrame, str]:
+        """The hits of a mode and the name of their rank. known: where the two searches are kept, so that several modes share them."""
+        def s():
+            if self.index is not None:
+                return sparse.search(queries, self.index, k, self.config)
+            counts = sparse.document_frequency(self.weights)
+            return sparse.ranked(sparse.scores(sparse.query_terms(queries, self.config.analyzer), self.weights.join(counts, "term"), counts), k)
+
+        def v():
+            return dense.topk(queries, dense.once(self.points), k, self.config.distance)
+
+        def once(name, make):
+            if known is None:
+                return make()
+            if name not in known:
+                known[name] = cut(make())
+            return known[name]
+
         if mode == "sparse":
-            return s(), "rank"
+            return once("sparse", s), "rank"
         if self.points is None:
             raise ValueError("the engine has no points")
-        return (v(), "rank") if mode == "dense" else (fusion.fuse(v(), s(), self.config), "fusion_rank")
+        return (once("dense", v), "rank") if mode == "dense" else (fusion.fuse(once("dense", v), once("sparse", s), self.config), "fusion_rank")
 
-    def retrieve(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10) -> DataFrame:
+    def retrieve(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, known: dict | None = None) -> DataFrame:
         """Final hits with ``final_rank``: over-fetched, fused, reranked if asked for (hybrid only), deduplicated, cut."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         if not 1 <= top_k <= 500:
             raise ValueError("top_k must be from 1 to 500")
         c = self.config
-        hits, rank = self._lists(queries, mode, max(top_k, c.retrieve_k))
-        hits = hits.join(self.chunks.select(F.col("chunk_id").alias("point_id"), *FIELDS), "point_id")
+        hits, rank = self._lists(queries, mode, max(top_k, c.retrieve_k), known)
+        hits = self.chunks.select(F.col("chunk_id").alias("point_id"), *FIELDS).join(small(cut(hits)), "point_id")
         final = top_k
         if mode == "hybrid":
             final = min(top_k, c.rerank_k or top_k)
@@ -80,9 +97,9 @@ class Engine:
         """Means of Recall, MRR and NDCG of modes over the queries whose question has gold labels."""
         modes, ks = evaluate.resolve_modes(modes), evaluate.resolve_k(k_values)
         labels = evaluate.gold(self.chunks).join(queries.select("query_id", F.col("text").alias("query")), "query")
-        every = None
+        every, lists = None, {}
         for mode in modes:
-            hits = self.retrieve(queries, mode, max(ks)).select(F.lit(mode).alias("mode"), "query_id", F.col("final_rank").alias("rank"), "point_id", *FIELDS)
+            hits = self.retrieve(queries, mode, max(ks), lists).select(F.lit(mode).alias("mode"), "query_id", F.col("final_rank").alias("rank"), "point_id", *FIELDS)
             every = hits if every is None else every.unionByName(hits)
         return evaluate.metrics(evaluate.metrics_per_query(every, labels, contract, ks, modes))
 

@@ -21,6 +21,8 @@ SKIPPED = ("boilerplate", "duplicate_child")
 STRUCTURAL = ("header", "intro", "list_parent", "table_parent")
 DEPENDENT = ("table_child", "list_item", "header", "intro")
 CONTEXT_TOKENS = 80
+#: Annotations before a span that its context is first looked for in.
+NEAR = 64
 
 
 def first_role(text: Column, kind: Column, tokens: Column) -> Column:
@@ -107,12 +109,18 @@ def pack(annotated: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     return annotated.withColumn("spans", F.aggregate("anns", state, step, lambda s: s["out"]))
 
 
+def runs(spans: str) -> Column:
+    """``span, lo, n`` of each span, whose candidates follow each other: its number, where it starts and its length (skipped ones counted)."""
+    at = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.size(spans) - 1)).otherwise(F.array().cast("array<int>"))
+    number = lambda i: F.get(F.col(spans), i)
+    starts = F.filter(at, lambda i: (number(i) >= 0) & ((i == 0) | (number(i - 1) != number(i))))
+    return F.transform(F.arrays_zip(starts.alias("lo"), F.slice(F.concat(starts, F.array(F.size(spans))), 2, 1_000_000_000).alias("hi")), lambda z: F.struct(number(z["lo"]).alias("span"), z["lo"].alias("lo"), (z["hi"] - z["lo"]).alias("n")))
+
+
 def spans_of(packed: DataFrame) -> DataFrame:
-    """The spans as rows: ``row_ordinal, span, members`` (usable ones only)."""
-    numbers = F.when(F.array_max("spans") >= 0, F.sequence(F.lit(0), F.array_max("spans"))).otherwise(F.array().cast("array<int>"))
-    exploded = packed.select("*", F.explode_outer(numbers).alias("span")).where("span IS NOT NULL")
-    inside = F.filter(F.arrays_zip("anns", "spans"), lambda z: (z["spans"] == F.col("span")) & ~z["anns"]["role"].isin(*SKIPPED))
-    return exploded.withColumn("members", F.transform(inside, lambda z: z["anns"])).drop("spans")
+    """The spans as rows: ``row_ordinal, span, lo, members`` (usable ones only); each takes its own slice of the annotations."""
+    exploded = packed.withColumn("_runs", runs("spans")).drop("spans").select("*", F.inline_outer("_runs")).where("span IS NOT NULL").drop("_runs")
+    return exploded.withColumn("members", F.filter(F.slice("anns", F.col("lo") + 1, F.col("n")), lambda a: ~a["role"].isin(*SKIPPED))).drop("n")
 
 
 def split_sentences(text: Column, target: int, most: int) -> Column:
@@ -132,9 +140,8 @@ def split_sentences(text: Column, target: int, most: int) -> Column:
     return F.aggregate(T.sentences(text), state, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["out"]))
 
 
-def context_of(text: Column, members: Column, anns: Column, config: EngineConfig) -> Column:
+def context_of(text: Column, members: Column, anns: Column, lo: Column, config: EngineConfig) -> Column:
     """The text with the run of headings, intros and parents before its span, where it depends on such; capped in words."""
-    start = F.array_min(F.transform(members, lambda m: m["idx"]))
     needs = (T.token_count(text) < config.soft_tokens) | F.exists(members, lambda m: m["role"].isin(*DEPENDENT)) | (F.size(members) > 1)
     state = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("prefix"))
 
@@ -145,8 +152,10 @@ def context_of(text: Column, members: Column, anns: Column, config: EngineConfig
         off = F.struct((F.size(s["prefix"]) > 0).alias("done"), s["prefix"].alias("prefix"))
         return F.when(s["done"], s).when(structural, on).otherwise(off)
 
-    before = F.reverse(F.filter(anns, lambda a: a["idx"] < start))
-    prefix = F.aggregate(before, state, step, lambda s: F.array_join(s["prefix"], " "))
+    fold = lambda before, finish: F.aggregate(F.reverse(before), state, step, finish)
+    near = fold(F.slice(anns, F.greatest(lo - NEAR, F.lit(0)) + 1, F.least(lo, F.lit(NEAR))), lambda s: F.when(s["done"] | (lo <= NEAR), F.array_join(s["prefix"], " ")))
+    # only where no heading run ended among the nearest is the rest of the row looked at
+    prefix = F.coalesce(near, fold(F.slice(anns, F.lit(1), lo), lambda s: F.array_join(s["prefix"], " ")))
     wide = F.when(prefix != "", F.concat(prefix, F.lit(" "), text)).otherwise(text)
     capped = F.when(T.token_count(wide) <= config.context_token_cap, wide).otherwise(T.first_words(wide, config.context_token_cap))
     return F.when(needs, capped).otherwise(text)
@@ -190,7 +199,7 @@ def _cut(rows: DataFrame, config: EngineConfig) -> DataFrame:
 def chunk(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """All chunks of the rows."""
     spans = _cut(rows, config)
-    made = spans.select("*", F.inline_outer("pieces")).where("part IS NOT NULL").withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), config))
+    made = spans.select("*", F.inline_outer("pieces")).where("part IS NOT NULL").withColumn("context_text", context_of(F.col("text"), F.col("members"), F.col("anns"), F.col("lo"), config))
     start, end = F.array_min(F.transform("members", lambda m: m["idx"])), F.array_max(F.transform("members", lambda m: m["idx"]))
     tokens = T.token_count(F.col("text"))
     kind = F.when(F.col("part") > 0, F.concat(F.lit("split_"), F.col("part").cast("string"))).when(tokens < config.soft_tokens, "short_fact").otherwise(chunk_kind(F.col("members")))

@@ -63,8 +63,8 @@ def passages_of(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
 
 
 def first_rows(rows: DataFrame, n: int | None, ordinal: str = "row_ordinal") -> DataFrame:
-    """Rows by their ordinal below a cap: a filter that reaches the scan."""
-    return rows if n is None else rows.where(F.col(ordinal) < n)
+    """The first n rows in the order of their ordinals, which may have gaps."""
+    return rows if n is None else rows.orderBy(ordinal).limit(n)
 
 
 def first_passages(passages: DataFrame, n: int | None) -> DataFrame:
@@ -72,12 +72,34 @@ def first_passages(passages: DataFrame, n: int | None) -> DataFrame:
     return passages if n is None else passages.orderBy("row_ordinal", "candidate_idx").limit(n)
 
 
-def flatten_groups(groups: DataFrame) -> DataFrame:
-    """Chunks of groups with their texts put together from the group's pool; a missing reference fails nothing but gives no text."""
+def _pool(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("_at", F.transform(F.filter(F.coalesce("texts", F.array().cast(groups.schema["texts"].dataType)), lambda t: t["text_idx"].isNotNull()), lambda t: t["text_idx"]))
+
+
+def rejected_references(groups: DataFrame) -> DataFrame:
+    """``group_id, chunk_id, field, text_idx``: references of chunks that the group's texts don't have, each once."""
+    none = F.array().cast("array<int>")
+    each = _pool(groups).select("group_id", "_at", F.inline("chunks")).select(
+        "group_id", "chunk_id", "_at", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), none).alias("refs")) for f in ("text_idxs", "context_idxs")]))
+    )
+    missing = F.array_except(F.filter("refs", lambda i: i.isNotNull()), F.col("_at"))
+    return each.select("group_id", "chunk_id", "field", F.explode(missing).alias("text_idx"))
+
+
+def flatten_groups(groups: DataFrame, missing: str = "skip") -> DataFrame:
+    """Chunks of groups with their texts put together from the group's pool.
+
+    A reference without a text gives no text (``missing="skip"``; :func:`rejected_references` tells them) or fails the query (``"raise"``).
+    """
+    if missing not in ("skip", "raise"):
+        raise ValueError(f"unknown treatment {missing!r} of missing references")
     known = F.filter(F.coalesce("texts", F.array().cast(groups.schema["texts"].dataType)), lambda t: t["text_idx"].isNotNull())
     pool = groups.select("group_id", "source_row_ordinal", *GROUP_FIELDS, F.transform(known, lambda t: t["text_idx"]).alias("_at"), F.transform(known, lambda t: t["text"]).alias("_texts"), "chunks")
     rows = pool.select("group_id", "source_row_ordinal", *GROUP_FIELDS, "_at", "_texts", F.inline("chunks"))
-    text = lambda i: F.get(F.col("_texts"), F.array_position(F.col("_at"), i).cast("int") - 1)
+    at = lambda i: F.array_position(F.col("_at"), i).cast("int")
+    error = lambda i: F.raise_error(F.concat(F.lit("Chunk "), F.coalesce("chunk_id", F.lit("?")), F.lit(" of group "), F.coalesce("group_id", F.lit("?")), F.lit(" refers to a missing text: "), i.cast("string"))).cast("string")
+    found = lambda i: F.get(F.col("_texts"), at(i) - 1)
+    text = (lambda i: F.when(at(i) == 0, error(i)).otherwise(found(i))) if missing == "raise" else found
     put = lambda refs: F.array_join(F.filter(F.transform(F.coalesce(F.col(refs), F.array().cast("array<int>")), text), lambda x: x.isNotNull()), " ")
     return rows.withColumns({"text": put("text_idxs"), "context_text": put("context_idxs")}).drop("_at", "_texts", "text_idxs", "context_idxs")
 

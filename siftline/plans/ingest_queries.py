@@ -31,7 +31,7 @@ def token_count(spark, d):
 
 
 def optional_strings(spark, d):
-    return _rows(spark, d).select("id", *[T.optional(F.col(c)).alias(c) for c in ("title", "question", "document_url")], F.size(ingest.long_answers(F.col("long_answers"))).alias("answers"))
+    return _rows(spark, d).select("id", *[T.optional(F.col(c)).alias(c) for c in ("title", "question", "document_url")], F.array_join(ingest.long_answers(F.col("long_answers")), "|").alias("answers"))
 
 
 def text_predicates(spark, d):
@@ -71,6 +71,13 @@ def flatten_chunks(spark, d):
     return ingest.flatten_groups(groups).select("group_id", "chunk_id", "text", "context_text", "chunk_kind", "token_count")
 
 
+def chunk_rejects(spark, d):
+    """References of chunks to texts that their group lacks."""
+    from siftline.operators.nested import once
+
+    return ingest.rejected_references(once(table(spark, d, "index_chunk_groups"), "group_id", "written_at"))
+
+
 def group_chunks(spark, d):
     g = ingest.group_chunks(_chunks(spark, d), _rows(spark, d))
     flat = ingest.flatten_groups(g)
@@ -82,7 +89,7 @@ def index_records(spark, d):
     flat = _chunks(spark, d).select("chunk_id", "text", "context_text", "title", "question")
     passages = ingest.explode_passages(_rows(spark, d)).select("passage_id", "text", "title", "question")
     lines = groups.unionByName(flat, allowMissingColumns=True).unionByName(passages, allowMissingColumns=True)
-    return ingest.index_records(lines).groupBy("record_kind").agg(F.count(F.lit(1)).alias("records"), F.count("text").alias("texts"), F.sum(F.length("text")).alias("characters"))
+    return ingest.index_records(lines)
 
 
 def row_counts(spark, d):
@@ -93,7 +100,7 @@ def row_counts(spark, d):
 
 
 def max_rows_cap(spark, d):
-    """The cap is the feature: rows below an ordinal, as a filter that reaches the scan."""
+    """The cap is the feature: the first rows in the order of ordinals."""
     return ingest.explode_passages(ingest.first_rows(_rows(spark, d), 50)).select("row_ordinal", "candidate_idx", "text")
 
 
@@ -178,7 +185,7 @@ k AS (SELECT group_id, texts, unnest(chunks) AS c FROM {g}), f AS (SELECT group_
 ORACLES = {
     "normalize_text": f"SELECT chunk_id, {S.normalize('text')} AS normalized, {S.normalize('title')} AS title FROM index_chunks",
     "token_count": f"SELECT chunk_id, {S.token_count('text')} AS tokens, len({S.words('text')}) AS words FROM index_chunks",
-    "optional_strings": f"SELECT id, {S.optional('title')} AS title, {S.optional('question')} AS question, {S.optional('document_url')} AS document_url, coalesce(len(list_filter(long_answers, lambda a: a IS NOT NULL)), 0) AS answers FROM nq_sample_rows",
+    "optional_strings": f"SELECT id, {S.optional('title')} AS title, {S.optional('question')} AS question, {S.optional('document_url')} AS document_url, coalesce(array_to_string(list_filter(long_answers, lambda a: a IS NOT NULL), '|'), '') AS answers FROM nq_sample_rows",
     "text_predicates": f"SELECT chunk_id, {S.boilerplate('text')} AS boilerplate, {S.intro('text')} AS intro, {S.intro_by_words('text')} AS intro_by_words, {S.fact('text')} AS fact, contains(text, chr(10)) OR len({S.words('text')}) BETWEEN 1 AND 16 AS followup FROM index_chunks",
     "first_sentence": rf"SELECT chunk_id, {S.strip("CASE WHEN regexp_extract(text, '([^\n]+?[.!?])(?:" + S.WS + r"|$)', 1) <> '' THEN regexp_extract(text, '([^\n]+?[.!?])(?:" + S.WS + r"|$)', 1) ELSE text END")} AS sentence, CASE WHEN length({S.normalize('text')}) <= 60 THEN {S.normalize('text')} ELSE left({S.normalize('text')}, 60) || '...' END AS shown FROM index_chunks",
     "safe_urls": "SELECT id, document_url AS url FROM nq_sample_rows",
@@ -187,10 +194,13 @@ ORACLES = {
     "explode_passages": f"WITH {_PASSAGES} SELECT row_ordinal, candidate_idx, text, title, question, passage_type, document_url, coalesce(array_to_string(list_filter(long_answers, lambda a: a IS NOT NULL), '|'), '') AS answers FROM p",
     "flatten_chunks": f"WITH {_GROUPS}, {_FLAT.format(g='g')} SELECT group_id, chunk_id, text, context_text, chunk_kind, token_count FROM f",
     "group_chunks": "SELECT group_id, chunk_id, text, context_text FROM index_chunks",
-    "index_records": f"""WITH {_PASSAGES}, {_FLAT.format(g='index_chunk_groups')}, u AS (SELECT 'group' AS record_kind, text FROM f UNION ALL SELECT 'chunk', text FROM index_chunks WHERE chunk_id IS NOT NULL UNION ALL SELECT 'passage', text FROM p)
-SELECT record_kind, count(*) AS records, count(text) AS texts, sum(length(text))::BIGINT AS characters FROM u GROUP BY 1""",
+    "index_records": f"""WITH {_PASSAGES}, {_FLAT.format(g='index_chunk_groups').replace('texts, unnest', 'title, question, texts, unnest').replace('SELECT group_id, c.chunk_id', 'SELECT title, question, c.chunk_id')}
+SELECT 'group' AS record_kind, chunk_id AS point_id, text, context_text, title, question FROM f UNION ALL SELECT 'chunk', chunk_id, text, context_text, title, question FROM index_chunks WHERE chunk_id IS NOT NULL
+UNION ALL SELECT 'passage', {S.uuid5(ids.PASSAGE_NAMESPACE, "'nq_sample' || chr(31) || 'train' || chr(31) || row_ordinal || chr(31) || candidate_idx")}, text, NULL, title, question FROM p""",
+    "chunk_rejects": f"""WITH {_GROUPS}, k AS (SELECT group_id, texts, unnest(chunks) AS c FROM g), r AS (SELECT group_id, c.chunk_id AS chunk_id, texts, unnest(['text_idxs', 'context_idxs']) AS field, unnest([c.text_idxs, c.context_idxs]) AS refs FROM k WHERE c IS NOT NULL),
+e AS (SELECT DISTINCT group_id, chunk_id, field, texts, unnest(refs) AS text_idx FROM r) SELECT group_id, chunk_id, field, text_idx FROM e WHERE text_idx IS NOT NULL AND NOT coalesce(list_contains(list_transform(texts, lambda t: t.text_idx), text_idx), false)""",
     "row_counts": f"WITH {_PASSAGES} SELECT (SELECT count(*) FROM nq_sample_rows) AS rows, (SELECT count(*) FROM nq_sample_rows WHERE candidates IS NOT NULL) AS rows_with_candidates, (SELECT count(*) FROM p) AS passages, (SELECT count(*) FROM index_chunks) AS chunks",
-    "max_rows_cap": f"WITH {_PASSAGES} SELECT row_ordinal, candidate_idx, text FROM p WHERE row_ordinal < 50",
+    "max_rows_cap": f"WITH {_PASSAGES} SELECT row_ordinal, candidate_idx, text FROM p WHERE row_ordinal IN (SELECT row_ordinal FROM nq_sample_rows ORDER BY row_ordinal LIMIT 50)",
     "max_passages_cap": f"WITH {_PASSAGES} SELECT row_ordinal, candidate_idx, text FROM p ORDER BY row_ordinal, candidate_idx LIMIT 100",
     "point_payloads": "SELECT chunk_id AS point_id, title, parent_candidate_idx::VARCHAR AS parent_candidate_idx, token_count::VARCHAR AS token_count, coalesce(len(long_answers), 0) > 0 AS has_answers FROM index_chunks",
     "embedding_texts": f"SELECT chunk_id, CASE WHEN {S.optional('title')} IS NOT NULL THEN text || chr(10) || 'Title: ' || {S.strip('title')} ELSE text END AS input FROM index_chunks",
@@ -218,7 +228,7 @@ ORACLES["chunk_counters"] = f"""{_FINAL} SELECT (SELECT count(*) FROM nq_sample_
 count(*) FILTER (context_text <> body) AS context_expanded,
 (SELECT count(*) FROM span WHERE k NOT IN (SELECT k FROM long) AND k NOT IN (SELECT k FROM piece)) + (SELECT count(*) FROM parts) - (SELECT count(*) FROM piece WHERE part > 0) AS tiny_suppressed, (SELECT '{{' || string_agg('"' || role || '":' || n, ',' ORDER BY role) || '}}' FROM (SELECT role, count(*) AS n FROM ann GROUP BY role)) AS role_counts FROM final"""
 _ALL = (
-    normalize_text, token_count, optional_strings, text_predicates, first_sentence, safe_urls, uuid5_ids, explode_passages, flatten_chunks, group_chunks, index_records, row_counts, max_rows_cap, max_passages_cap, point_payloads,
+    normalize_text, token_count, optional_strings, text_predicates, first_sentence, safe_urls, uuid5_ids, explode_passages, flatten_chunks, chunk_rejects, group_chunks, index_records, row_counts, max_rows_cap, max_passages_cap, point_payloads,
     embedding_texts, candidate_roles, duplicate_children, role_histogram, span_packing, sentence_packing, chunks, chunk_context, chunk_counters, continuity_pairs, continuity_summary, duplicate_text_groups, contiguous_groups,
     *map(_analyzer, ANALYZERS),
 )

@@ -12,6 +12,7 @@ from siftline.config import CONTRACTS, EngineConfig
 from siftline.functions import text as T
 from siftline.operators import dense, evaluate, fusion, generate, sparse
 from siftline.plans import sql as S
+from siftline.plans.shared import cut, small, stored
 from siftline.sources.tables import table
 from siftline.streaming import resume
 
@@ -43,8 +44,13 @@ def _docs(spark, d):
     return _chunks(spark, d).select("chunk_id", "text")
 
 
+def _index(spark, d):
+    """The stored index of the chunks, built by the first query that asks it."""
+    return stored(spark, f"chunks of {d}", lambda: sparse.build(_docs(spark, d), CONFIG, key="chunk_id"))
+
+
 def _sparse(spark, d, k):
-    return sparse.topk(_queries(spark, d), _docs(spark, d), k, CONFIG, key="chunk_id")
+    return sparse.search(_queries(spark, d), _index(spark, d), k, CONFIG)
 
 
 def _dense(spark, d, k, distance="Cosine"):
@@ -52,7 +58,7 @@ def _dense(spark, d, k, distance="Cosine"):
 
 
 def _with_fields(hits, spark, d):
-    return hits.join(_chunks(spark, d).select(F.col("chunk_id").alias("point_id"), *FIELDS), "point_id")
+    return _chunks(spark, d).select(F.col("chunk_id").alias("point_id"), *FIELDS).join(small(cut(hits)), "point_id")
 
 
 def _fused(spark, d):
@@ -82,7 +88,8 @@ def okapi_idf(spark, d):
 
 
 def bm25_doc_weights(spark, d):
-    return sparse.index(_docs(spark, d), CONFIG, key="chunk_id").withColumn("weight", F.round("weight", 6))
+    i = _index(spark, d)
+    return sparse.weights(i.posted, i.idf, i.stats, CONFIG).select("doc_id", "term", "weight").withColumn("weight", F.round("weight", 6))
 
 
 def query_terms(spark, d):
@@ -90,8 +97,8 @@ def query_terms(spark, d):
 
 
 def missing_terms(spark, d):
-    """Terms of the chunks that the stored shards' vocabulary lacks (other analysis: stems and stop words)."""
-    posted = sparse.postings(sparse.tokenized(_docs(spark, d), "regex", "chunk_id"))
+    """Terms of the chunks' index that the vocabulary of the stored shards lacks: stems that are no words of it."""
+    posted = _index(spark, d).posted
     known = table(spark, d, "pass1_states").select(F.explode(F.map_keys("term_to_id")).alias("term")).distinct()
     return sparse.missing_terms(posted, known)
 
@@ -187,7 +194,7 @@ def eval_labels(spark, d):
 def _all_hits(spark, d):
     """The final hits of all modes: over-fetched, deduplicated, cut to the largest k."""
     top, k = max(KS), max(max(KS), CONFIG.retrieve_k)
-    s, v = _sparse(spark, d, k), _dense(spark, d, k)
+    s, v = cut(_sparse(spark, d, k)), cut(_dense(spark, d, k))  # each is in two of the three
     named = {"sparse": (s, "rank"), "dense": (v, "rank"), "hybrid": (fusion.fuse(v, s, CONFIG), "fusion_rank")}
     every = None
     for mode, (hits, rank) in named.items():
@@ -307,7 +314,7 @@ f AS (SELECT term, min((o, p)) AS f FROM (SELECT o, unnest(toks) AS term, unnest
     "okapi_idf": f"WITH {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_doc_weights": f"WITH {_DOCS} SELECT doc_id, term, round(weight, 6) AS weight FROM w WHERE weight <> 0",
     "query_terms": f"WITH {_Q}, {_QT} SELECT query_id, term, qtf FROM qt",
-    "missing_terms": f"SELECT DISTINCT term FROM (SELECT unnest({S.analyze('text', 'regex')}) AS term FROM index_chunks) WHERE term NOT IN (SELECT unnest(map_keys(term_to_id)) FROM pass1_states WHERE term_to_id IS NOT NULL)",
+    "missing_terms": f"SELECT DISTINCT term FROM (SELECT unnest({S.analyze('text')}) AS term FROM index_chunks) WHERE term NOT IN (SELECT unnest(map_keys(term_to_id)) FROM pass1_states WHERE term_to_id IS NOT NULL)",
     "bm25_topk": f"WITH {_SPARSE} SELECT query_id, point_id, round(score, 6) AS score, rank FROM sp WHERE rank <= {K}",
     **{f"dense_topk_{k}": f"WITH {_dense_sql(k)} SELECT query_id, point_id, round(score, 6) AS score, rank FROM dn WHERE rank <= {K}" for k in _SCORE},
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, point_id, dense_rank, sparse_rank, fusion_rank, round(fusion_score, 9) AS fusion_score FROM fu",

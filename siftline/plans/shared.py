@@ -36,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only on a local master, where that is unset."""
     conf = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="siftline-"))
     return _LOCAL_DIR[0]
@@ -68,3 +70,14 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, name: str, make):
+    """What ``make()`` gives, made once in a Spark context: for indexes that many queries ask."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
