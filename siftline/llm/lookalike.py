@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import re
 import string
-import sys
 import unicodedata
 import uuid
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, starmap
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,8 @@ IMITATIONS = {
 #: Latin letters of one shape. Fixed values.
 SHAPES = ("Il", "Oo", "Cc", "Ss", "Vv", "Ww", "Xx", "Zz", "Uu")
 SUPPORT, SHARE = 3, 0.8
+#: Code points beyond ASCII but for plain ideographs, Hangul syllables and what is private or not given. Fixed values.
+BLOCKS = ((0x80, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 #: Compatibility decompositions that are another width or presentation form of a letter, digit or sign.
 FORMS = ("<wide>", "<narrow>", "<font>", "<small>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<circle>")
 #: Invisible besides the characters of category Cf.
@@ -91,7 +93,7 @@ def edges() -> tuple[dict[str, str], dict[str, str]]:
     """Pairs (string, what it looks like): those that hold anywhere, and letters of other scripts."""
     anywhere: dict[str, str] = {}
     forms: dict[str, str] = {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in chain.from_iterable(starmap(range, BLOCKS)):
         c = chr(code)
         category = unicodedata.category(c)
         if category in ("Cn", "Co", "Cs"):

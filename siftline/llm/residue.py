@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.boilerplate import _plain
-from siftline.llm.residue_seeds import LATIN, SEEDS, WORD, Seeds, body_lines, has_placeholder, is_filler, sentences, unaccented, without_tracebacks
+from siftline.llm.residue_seeds import LATIN, SEEDS, WORD, Seeds, body_lines, has_placeholder, is_filler, repeats, sentences, unaccented, without_tracebacks
 from siftline.plans.shared import cut, small
 
 SHINGLE, SIMILAR, HAMMING = 5, 0.8, 16
@@ -149,11 +149,11 @@ def _pieces(text: str, title: str | None, seeds: Seeds) -> tuple[str, list[str],
     return text, low, masked(low, title)
 
 
-def judged(parts: list[str], words: list[list[str]], seeds: Seeds) -> list[bool]:
-    """Which sentences are sure. The longest are asked first, and none is sure once others make up more than half of the words."""
+def judged(parts: list[str], words: list[list[str]], seeds: Seeds, latin: int) -> list[bool]:
+    """Which sentences are sure; ``latin``: how many words are those of Latin fillers. The longest are asked first, and none is sure once others make up more than half of the words."""
     sizes = [len(w) for w in words]
     sure, other, n = [False] * len(parts), 0, sum(sizes)
-    filled = sum(map(LATIN.__contains__, (w for x in words for w in x))) >= 4 or len(parts) < 4 or any(len(set(w)) <= 4 <= len(w) for w in words)
+    filled = latin >= 4 or any(len(set(w)) <= 4 <= len(w) for w in words)
     for i in sorted(range(len(parts)), key=lambda i: -sizes[i]):
         sure[i] = not sizes[i] or seeds.tells(parts[i]) or filled and is_filler(words[i]) and is_filler(WORD.findall(parts[i]))
         if not sure[i]:
@@ -189,7 +189,9 @@ def screen(docs: DataFrame, seeds: Seeds = SEEDS) -> DataFrame:
                     if not flat:
                         out.append([name, label, *[None] * 6])
                         continue
-                    sure = [True] * len(parts) if is_filler(flat) and is_filler(WORD.findall(" ".join(parts))) else judged(parts, each, seeds)
+                    latin = sum(map(LATIN.__contains__, flat))
+                    whole = (latin >= 0.8 * len(flat) or repeats(flat)) and is_filler(WORD.findall(" ".join(parts)))
+                    sure = [True] * len(parts) if whole else judged(parts, each, seeds, latin)
                     left = [w for w, ok in zip(each, sure, strict=True) if w and not ok]
                     opened += left
                     open_sizes.append(len(left))

@@ -156,14 +156,18 @@ class Seeds:
         import ahocorasick
 
         self.without = tuple(without)
-        self.pairs, rules = [], {}
+        self.pairs, marks = [], {}
         for name, pairs in CONCEPTS.items():
             for a, b in pairs if name not in without else ():
+                rule = len(self.pairs)
                 for x in needed(unaccented(a)):
-                    rules.setdefault(x, set()).add(len(self.pairs))
-                self.pairs.append((re.compile(unaccented(a)), re.compile(unaccented(b)) if b else None))
+                    marks.setdefault(x, set()).add(2 * rule)
+                right = needed(unaccented(b)) if b else None
+                for x in right or ():
+                    marks.setdefault(x, set()).add(2 * rule + 1)
+                self.pairs.append((re.compile(unaccented(a)), re.compile(unaccented(b)) if b else None, right is not None))
         self.automaton = ahocorasick.Automaton()
-        for x, found in rules.items():
+        for x, found in marks.items():
             self.automaton.add_word(x, found)
         self.automaton.make_automaton()
 
@@ -175,13 +179,17 @@ class Seeds:
 
     def tells(self, low: str) -> bool:
         """As :func:`is_message`, of a sentence in small letters, without accents and with single blanks."""
-        tried: set[int] = set()
-        for _, rules in self.automaton.iter(low):
-            tried |= rules
-        if not tried:
-            return False
-        low = low.rstrip(" .!…")
-        return any(a.search(low) and (b is None or b.search(low)) for a, b in map(self.pairs.__getitem__, tried)) and not NARRATES.search(low)
+        seen: set[int] = set()
+        for _, marks in self.automaton.iter(low):
+            seen |= marks
+        told = False
+        for mark in seen:
+            if not mark & 1:
+                left, right, asked = self.pairs[mark >> 1]
+                if (not asked or mark + 1 in seen) and left.search(short := low.rstrip(" .!…")) and (right is None or right.search(short)):
+                    told = True
+                    break
+        return told and not NARRATES.search(short)
 
 
 FOOTER = re.compile(r"\s*(©|\(c\)|copyright\b|all rights reserved|alle rechte|tous droits|todos los derechos)[^\n]*", re.I)
