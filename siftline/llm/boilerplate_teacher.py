@@ -35,6 +35,7 @@ LINES = re.compile(
             r"anzeige|impressum \| datenschutz \| agb|zum inhalt springen|nach oben|seite \d+ von \d+|zuletzt geändert am .{3,30}|newsletter abonnieren und nichts über .{2,90} verpassen|kommentar schreiben|seite drucken \| seite empfehlen|ein angebot von .{3,60}",
             r"publicité|mentions légales \| .{3,60}|aller au contenu|haut de page|page \d+ sur \d+|dernière modification en \d{4} par .{3,60}|inscrivez-vous à la lettre de .{3,60}|partager cette page ?:? .{3,60}|laisser un commentaire",
             r"publicidad|aviso legal \| .{3,60}|saltar al contenido|volver arriba|página \d+ de \d+|última modificación: .{3,30}|suscríbase al boletín de .{3,60}|compartir esta página|dejar un comentario",
+            r"(sponsored|promoted|anzeige|gesponsert|sponsorisé|patrocinado): [^.!?]{3,100}|filed under [^.!?]{2,60}|(tags|categories|topics|schlagwörter|kategorien|mots-clés|catégories|etiquetas|categorías): [^.!?]{2,140}",
             rf"({SIDEBARS})(: [^.!?]{{3,400}})?",
         )
     )
@@ -44,6 +45,10 @@ HEADING = re.compile(SIDEBARS)
 FIXED_HEADINGS = {"v t e", "vte", "v.t.e", "external links", "references", "see also", "notes"}
 
 
+#: Lines that one block of a broken page is looked for in.
+REACH = 40
+
+
 def collapse(text: str) -> str:
     return " ".join(text.split()).lower()
 
@@ -78,7 +83,7 @@ def labels(candidate: str) -> list[bool]:
             out[i] = True
     i = 0
     while i < len(full):
-        for span in range(min(14, len(full) - i), 0, -1):
+        for span in range(min(REACH, len(full) - i), 0, -1):
             text = " ".join(lines[j] for j in full[i : i + span])
             if is_chrome(text) and not (span > 1 and all(is_chrome(lines[j]) for j in full[i : i + span])):
                 flat = collapse(text)
