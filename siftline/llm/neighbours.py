@@ -34,6 +34,8 @@ DIMENSIONS = 64
 SAMPLE, SAMPLE_ROWS, LIST_ROWS, PART_ROWS = 60_000, 4, 512, 20_000
 POST, PROBE, REPLICAS, PROBES = 0.12, 0.30, 4, 6
 DEGREE, BEAM = 16, 24
+#: The same for neighbours however far: lists that a point looks into at most, and how much farther than the nearest.
+FAR_PROBES, FAR_REACH = 20, 0.6
 #: Rows of two numbers up to which a table is sent to every task.
 FEW = 500_000
 
@@ -144,12 +146,12 @@ class CentroidGraph:
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         return np.where(np.isfinite(sims), ids, -1), sims
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists(self, x: np.ndarray, probes: int = PROBES, reach: float = PROBE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every row the near lists, which of them hold it, and which it looks into."""
-        ids, sims = self.search(x, PROBES)
+        ids, sims = self.search(x, probes)
         far = np.sqrt(np.maximum(0.0, 2 - 2 * np.where(ids >= 0, sims, -1.0)))
         nearest = far[:, :1]
-        probe = (ids >= 0) & (far <= (1 + PROBE) * nearest + 1e-6)
+        probe = (ids >= 0) & (far <= (1 + reach) * nearest + 1e-6)
         post = (ids >= 0) & (far <= (1 + POST) * nearest + 1e-6)
         post[:, REPLICAS:] = False
         for j in range(1, min(REPLICAS, ids.shape[1])):
@@ -203,7 +205,7 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> tuple[CentroidGraph
     return graph, parts
 
 
-def postings(vectors: DataFrame, graph: CentroidGraph, parts: np.ndarray, exact: bool = False) -> DataFrame:
+def postings(vectors: DataFrame, graph: CentroidGraph, parts: np.ndarray, exact: bool = False, probes: int = PROBES, reach: float = PROBE) -> DataFrame:
     """``list, part, key, raw, use``: a row for each part of a list that holds a vector (1), that it looks into (2), or both (3)."""
     shared, token = vectors.sparkSession.sparkContext.broadcast((graph.c, graph.links, graph.hubs, parts)), uuid.uuid4().hex
 
@@ -219,7 +221,7 @@ def postings(vectors: DataFrame, graph: CentroidGraph, parts: np.ndarray, exact:
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
-                ids, post, probe = _GRAPHS[token].lists(_unit(list(part["raw"])))
+                ids, post, probe = _GRAPHS[token].lists(_unit(list(part["raw"])), probes, reach)
                 if exact:
                     near, ids = ids, np.broadcast_to(np.arange(len(parts)), (len(part), len(parts)))
                     post = ids == near[:, :1]
@@ -273,21 +275,24 @@ def _best_of_list(k: int, least: float):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, n: int, k: int, least: float, exact: bool = False) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, n: int, k: int, least: float, exact: bool = False, probes: int = PROBES, reach: float = PROBE) -> DataFrame:
     """``key, other, similarity``: of every different vector the k most similar others of at least ``least``."""
     graph, parts = fit(vectors, n)
-    found = postings(vectors, graph, parts, exact).groupBy("list", "part").applyInPandas(_best_of_list(k, least), "key bigint, other bigint, similarity double")
+    found = postings(vectors, graph, parts, exact, probes, reach).groupBy("list", "part").applyInPandas(_best_of_list(k, least), "key bigint, other bigint, similarity double")
     # one shuffle by key serves the grouping and the ranking
     once = found.repartition("key").groupBy("key", "other").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbours(points: DataFrame, k: int = 5, least: float = 0.85, exact: bool = False) -> DataFrame:
-    """``point_id, other_id, similarity``: of every point the k most similar other points of at least ``least``; -1 leaves none out."""
+def neighbours(points: DataFrame, k: int = 5, least: float = 0.85, exact: bool = False, probes: int = PROBES, reach: float = PROBE) -> DataFrame:
+    """``point_id, other_id, similarity``: of every point the k most similar other points of at least ``least``; -1 leaves none out.
+
+    probes, reach: how many lists a point looks into at most, and how much farther than the nearest; far neighbours need more.
+    """
     members = usable(points)
     count = members.agg(F.count_if(F.col("no") == F.col("first")).alias("n")).first().n
-    near = nearest_vectors(classes(points, members), count, k, least, exact)
+    near = nearest_vectors(classes(points, members), count, k, least, exact, probes, reach)
     # of points with the same vector the first k + 1 can count, and only the few that lack k among themselves look at other vectors
     rank = F.row_number().over(W.partitionBy("first").orderBy("no"))
     alike = members.where("copies > 1").select("first", "no", "copies").withColumn("_r", rank).where(F.col("_r") <= k + 1)

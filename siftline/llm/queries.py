@@ -23,7 +23,7 @@ def p3_found(spark, d):
 def p3_neighbours(spark, d):
     """The chunks most similar to each chunk that has a usable vector, however similar they are, with their texts' ids."""
     chunks = table(spark, d, "index_chunks").where("text IS NOT NULL").select(F.col("chunk_id").alias("point_id"), "group_id")
-    return neighbours.neighbours(table(spark, d, "dense_points"), least=-1.0).join(chunks, "point_id").select("point_id", "group_id", "other_id", F.round("similarity", 6).alias("similarity"))
+    return neighbours.neighbours(table(spark, d, "dense_points"), least=-1.0, probes=neighbours.FAR_PROBES, reach=neighbours.FAR_REACH).join(chunks, "point_id").select("point_id", "group_id", "other_id", F.round("similarity", 6).alias("similarity"))
 
 
 def p4_found(spark, d):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftline.llm import encode, mixture
+from siftline.llm import encode
 
 PATH = f"{encode.TOKENIZERS}/{encode.DEFAULT}"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
@@ -46,46 +46,3 @@ def test_table(spark, reference):
     assert encode.encode(spark.createDataFrame([], DOCS), ["doc_id"]).count() == 0
     counts = {r.doc_id: r.tokens for r in encode.count_tokens(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect()}
     assert counts == {1: 2, 2: 0, 3: 0, 4: 2}
-
-
-TARGETS = "source string, target_share double, max_repeats int"
-
-
-def documents(spark, sizes):
-    rows = [(i, "word" * n, s) for i, (s, n) in enumerate(sizes)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-
-
-def test_shares_and_caps(spark):
-    sizes = [("big", 3)] * 3000 + [("mid", 5)] * 300 + [("small", 7)] * 40 + [(None, 3)] * 20 + [("other", 3)] * 20
-    docs = documents(spark, sizes)
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 4), ("gone", 0.1, 3), ("zero", 0.0, 1), ("null", None, None)], TARGETS)
-    got = {r.source: r for r in mixture.shares(docs, targets).collect()}
-    assert set(got) == {"big", "mid", "small", "gone"} and got["gone"].tokens == 0
-    assert sum(r.actual_share for r in got.values()) == pytest.approx(1)
-    for s, share in (("big", 5 / 9), ("mid", 3 / 9), ("small", 1 / 9)):
-        assert got[s].actual_share == pytest.approx(share, abs=0.01)
-    assert got["big"].repeats <= 1 and got["mid"].repeats <= 2 and got["small"].repeats <= 4
-    mixed = mixture.mix(docs, targets)
-    per = {(r.source, r.doc_id): r["count"] for r in mixed.groupBy("source", "doc_id").count().collect()}
-    assert {s for s, _ in per} == {"big", "mid", "small"}
-    sums = {s: sum(n for (x, _), n in per.items() if x == s) for s in ("big", "mid", "small")}
-    assert sums["small"] * 7 == pytest.approx(got["small"].tokens, rel=0.4) or sums["small"] > 0
-    for s, cap in (("big", 1), ("mid", 2), ("small", 4)):
-        assert max(n for (x, _), n in per.items() if x == s) <= cap
-        assert max(n for (x, _), n in per.items() if x == s) - min(n for (x, _), n in per.items() if x == s) <= 1
-
-
-def test_thresholds_are_nested(spark):
-    docs = documents(spark, [("a", 3)] * 400 + [("b", 3)] * 400)
-    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
-    take = lambda total: {r.doc_id for r in mixture.mix(docs, targets, total).select("doc_id").collect()}
-    small, large = take(200.0), take(400.0)
-    assert small and small < large
-
-
-def test_empty_inputs(spark):
-    docs, targets = documents(spark, []), spark.createDataFrame([], TARGETS)
-    some = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
-    assert mixture.mix(docs, targets).count() == 0 and mixture.mix(docs, some).count() == 0
-    assert mixture.shares(documents(spark, [("a", 0), ("a", 0)]), some).first().tokens == 0
