@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from siftline.config import EngineConfig
 from siftline.functions import text as T
+from siftline.functions.folds import collecting
 from siftline.functions.ids import CHUNK_NAMESPACE, joined, uuid5
 from siftline.operators.ingest import long_answers
 
@@ -106,7 +107,7 @@ def pack(annotated: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
             .otherwise(made(F.lit(True), a["tokens"], s["span"] + 1, s["span"] + 1))
         )
 
-    return annotated.withColumn("spans", F.aggregate("anns", state, step, lambda s: s["out"]))
+    return annotated.withColumn("spans", collecting("anns", state, step))
 
 
 def runs(spans: str) -> Column:

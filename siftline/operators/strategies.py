@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 
 from siftline.config import STRATEGIES
 from siftline.functions import text as T
+from siftline.functions.folds import collecting
 from siftline.functions.ids import STUDY_NAMESPACE, joined, uuid5
 from siftline.operators import sparse
+from siftline.operators.chunking import runs
 
 CAND = "array<struct<idx:int,text:string,ptype:string,tokens:int,low:string,boiler:boolean,intro:boolean>>"
 
@@ -72,10 +74,10 @@ def parent_dedup(rows: DataFrame) -> DataFrame:
 
 def _spans(rows: DataFrame, strategy: str, kind: str) -> DataFrame:
     """The spans (``_s``: the number of each candidate's span, -1 for none) as chunks."""
-    numbers = F.when(F.array_max("_s") >= 0, F.sequence(F.lit(0), F.array_max("_s"))).otherwise(F.array().cast("array<int>"))
-    each = rows.select("*", F.explode_outer(numbers).alias("_i")).where("_i IS NOT NULL")
-    members = F.transform(F.filter(F.arrays_zip("cands", "_s"), lambda z: z["_s"] == F.col("_i")), lambda z: z["cands"])
-    each = each.withColumn("_m", members)
+    each = rows.withColumn("_runs", runs("_s")).select("*", F.inline_outer("_runs")).where("span IS NOT NULL").withColumnRenamed("span", "_i")
+    # a slice may end with boilerplate that is in no span
+    members = F.filter(F.arrays_zip(F.slice("cands", F.col("lo") + 1, F.col("n")).alias("cands"), F.slice("_s", F.col("lo") + 1, F.col("n")).alias("_s")), lambda z: z["_s"] == F.col("_i"))
+    each = each.withColumn("_m", F.transform(members, lambda z: z["cands"])).drop("lo", "n", "_runs")
     idx = F.transform("_m", lambda c: c["idx"])
     text = F.array_join(F.transform(F.filter("_m", lambda c: ~c["boiler"]), lambda c: c["text"]), "\n")
     return _made(each, strategy, None, kind, F.array_min(idx), F.array_max(idx), text, F.transform("_m", lambda c: c["ptype"]), F.col("_i"))
@@ -90,7 +92,7 @@ def dpr_window(rows: DataFrame, target: int = 100) -> DataFrame:
         span = F.when(new, s["span"] + 1).otherwise(s["span"])
         return F.struct(F.when(new, c["tokens"]).otherwise(s["total"] + c["tokens"]).alias("total"), span.alias("span"), F.concat(s["out"], F.array(span)).alias("out"))
 
-    return _spans(rows.withColumn("_s", F.aggregate("cands", state, step, lambda s: s["out"])), "dpr_window", "fixed_window")
+    return _spans(rows.withColumn("_s", collecting("cands", state, step)), "dpr_window", "fixed_window")
 
 
 def _packed(rows: DataFrame, least: int, most: int) -> DataFrame:
@@ -114,7 +116,7 @@ def _packed(rows: DataFrame, least: int, most: int) -> DataFrame:
             .otherwise(made(F.lit(True), c["tokens"], s["span"] + 1, s["span"] + 1))
         )
 
-    return rows.withColumn("_s", F.aggregate("cands", state, step, lambda s: s["out"]))
+    return rows.withColumn("_s", collecting("cands", state, step))
 
 
 def min_context(rows: DataFrame, least: int = 60, most: int = 220) -> DataFrame:
