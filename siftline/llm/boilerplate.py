@@ -14,10 +14,12 @@ their position; blank lines keep their number. A missing type is a tag of its ow
 from __future__ import annotations
 
 import io
+import math
 import os
 import pkgutil
 import re
 from functools import lru_cache
+from string import ascii_uppercase
 from zlib import crc32
 
 import numpy as np
@@ -61,7 +63,8 @@ class Page:
             full = [i for i, x in enumerate(lines) if x.strip()]
             for k, i in enumerate(full):
                 raw = lines[i].strip()
-                low = DIGITS.sub("0", raw.lower())
+                flat = raw.lower()
+                low, flat = DIGITS.sub("0", flat), " ".join(flat.split())
                 words = TOKEN.findall(low)
                 ends = [f"^{words[0]}", f"^^{' '.join(words[:2])}", f"${words[-1]}"] if words else []
                 place = "only" if len(full) == 1 else "first" if k == 0 else "last" if k == len(full) - 1 else "inner"
@@ -69,12 +72,12 @@ class Page:
                 self.tags.append([_bucket(f"<{kind.strip().lower()}>"), _bucket(f"<{kind.strip().lower()}/{place}>"), _bucket(f"<{place}/{min(len(full), 8)}>")])
                 count = max(1, len(words))
                 self.shapes.append((
-                    np.log1p(len(raw)) / 6, np.log1p(count) / 4, raw[-1] in ".!?", raw[-1] == ":", sum(x in "|/>·»" for x in raw) / count, raw.count(" - ") / count,
-                    sum(w == "0" for w in words) / count, sum(x.isupper() for x in raw) / len(raw), raw[0] in "-*•", k == 0, k == len(full) - 1, len(full) == 1,
-                    c / n, c == n - 1, bool(name) and name in " ".join(raw.lower().split()), "," in raw,
+                    math.log1p(len(raw)) / 6, math.log1p(count) / 4, raw[-1] in ".!?", raw[-1] == ":", sum(map(raw.count, "|/>·»")) / count, raw.count(" - ") / count,
+                    words.count("0") / count, (sum(map(raw.count, ascii_uppercase)) if raw.isascii() else sum(map(str.isupper, raw))) / len(raw), raw[0] in "-*•", k == 0, k == len(full) - 1, len(full) == 1,
+                    c / n, c == n - 1, bool(name) and name in flat, "," in raw,
                 ))
                 self.at.append((c, i))
-                self.fixed.append(" ".join(raw.lower().split()) in FIXED_HEADINGS)
+                self.fixed.append(flat in FIXED_HEADINGS)
 
 
 def bags(lists: list[list[int]], table: np.ndarray) -> np.ndarray:
