@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.sparse import ranked
+from siftline.plans.shared import cut
 
 BLOCK = 2_000
+#: Bytes of query vectors that are sent to every task.
+FEW_BYTES = 64 << 20
 PACKED = "ids array<string>, size int, block binary"
 
 
@@ -74,7 +77,9 @@ def _compare(distance: str, k: int) -> Callable:
 def scores(queries: DataFrame, points: DataFrame, k: int, distance: str = "Cosine", size: int = 64) -> DataFrame:
     """``query_id, point_id, score``: for each query a superset of its k best points; distances count negative."""
     q = _packed(queries, "query_id", size).select(F.col("ids").alias("qids"), F.col("size").alias("qsize"), F.col("block").alias("qblock"))
-    pairs = _packed(points, "point_id", size).crossJoin(q)  # blocks of a stated query set against blocks of all points
+    # blocks of a stated query set against blocks of all points; few of them go to every task, more are paired partition by partition
+    q = cut(q)
+    pairs = _packed(points, "point_id", size).crossJoin(F.broadcast(q) if q.agg(F.coalesce(F.sum(F.length("qblock")), F.lit(0)).alias("n")).first().n <= FEW_BYTES else q.hint("shuffle_replicate_nl"))
     kind = queries.schema["query_id"].dataType.simpleString()
     found = pairs.mapInPandas(_compare(distance, k), "query_id string, point_id string, score double")
     return found.withColumn("query_id", F.col("query_id").cast(kind))
