@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.plans.shared import cut
+
 
 def missing(records: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
     """Records whose key isn't among those done."""
@@ -21,6 +23,7 @@ def upsert_missing(records: DataFrame, path: str, key: str, make: Callable[[Data
         if "PATH_NOT_FOUND" not in str(e):
             raise
         rest = records
+    rest = cut(rest.dropDuplicates([key]))  # made once; a key that a batch repeats is one
     n = rest.count()
     if n:
         make(rest).write.mode("append").parquet(path)
