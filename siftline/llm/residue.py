@@ -44,7 +44,7 @@ BLOCKS, BITS, COMPANY, SALT = 6, 64, 2, 16
 FEW = 500_000
 
 HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}\b")
-HEXES = re.compile(r"[0-9a-f]{6,}")
+HEXES = re.compile(r"\b[0-9a-f]{6,}\b")
 NUMBER = re.compile(r"\d+")
 DOTTED = re.compile(r"\.[a-z]")
 
@@ -57,13 +57,9 @@ def masked(pieces: list[str], title: str | None) -> list[list[str]]:
         text = text.replace(name, " titel ")
     if DOTTED.search(text):
         text = HOST.sub(" host ", text)
-    out = []
-    for piece in text.split("\n"):
-        words = WORD.findall(piece)
-        if not "".join(words).isalpha():
-            words = [w if w.isalpha() else "ref" if HEXES.fullmatch(w) and NUMBER.search(w) else NUMBER.sub("0", w) for w in words]
-        out.append(words)
-    return out
+    if NUMBER.search(text):
+        text = NUMBER.sub("0", HEXES.sub(lambda m: "ref" if NUMBER.search(m[0]) else m[0], text))
+    return [WORD.findall(piece) for piece in text.split("\n")]
 
 
 _HASHES: dict[str, int] = {}

@@ -48,11 +48,11 @@ LINKED = re.compile(r"\[\[([^\]|\[\n]{2,})\]\]")
 #: All-capital words in brackets are a field if one of them names one, as in ``[COMPANY NAME]``.
 CAPITALS = re.compile(r"\[([A-Z][A-Z]+(?:[ _][A-Z]+)*)\]")
 #: Every placeholder has one of these.
-MARKS = set("{[<%@_*&$")
+MARKS = re.compile(r"[{[<%@_*&$]")
 
 
 def has_placeholder(text: str) -> bool:
-    if MARKS.isdisjoint(text):
+    if not MARKS.search(text):
         return False
     plain = QUOTED.sub(" ", text)
     if PLACEHOLDER.search(plain):
