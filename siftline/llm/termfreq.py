@@ -18,6 +18,8 @@ all chunks, else ``useful``. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,11 @@ def together(found: list[tuple[str, int]], size: int, least: int) -> list[list[s
     return [t for t in tasks if t]
 
 
+def local(folder: str) -> str:
+    """The path of a ``file:`` folder."""
+    return re.sub("^file:/*", "/", folder)
+
+
 def _aggregate(memory: str, spill: str | None):
     def run(batches):
         import os
@@ -161,7 +168,7 @@ def _aggregate(memory: str, spill: str | None):
                 con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": own})
                 query = "SELECT term, sum(chunks)::BIGINT AS chunks, sum(occurrences)::BIGINT AS occurrences FROM {} GROUP BY term"
                 if spill:
-                    files = ", ".join("'" + f.removeprefix("file://").replace("'", "''") + "/*.parquet'" for f in folders)
+                    files = ", ".join("'" + local(f).replace("'", "''") + "/*.parquet'" for f in folders)
                     reader = con.sql(query.format(f"read_parquet([{files}], hive_partitioning = false)")).fetch_arrow_reader(50_000)
                 else:  # another shared file system: its files, one after another, go into DuckDB's own table
                     con.execute("CREATE TABLE leaf (term VARCHAR, chunks BIGINT, occurrences BIGINT)")
@@ -195,7 +202,7 @@ def count_terms(states: DataFrame, leaf_bytes: int = LEAF_BYTES) -> tuple[DataFr
         return spark.createDataFrame([], ROWS), total
     tasks = together(found, leaf_bytes, spark.sparkContext.defaultParallelism)
     listed = spark.createDataFrame([(t,) for t in tasks], "folders array<string>").repartition(len(tasks))
-    spill = f"{root}/spill".removeprefix("file://") if plain else None
+    spill = local(f"{root}/spill") if plain else None
     terms = cut(listed.mapInArrow(_aggregate(MEMORY, spill), ROWS))
     remove(spark, root)
     return terms, total
