@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import EngineConfig
-from siftline.operators import best, sparse
+from siftline.operators import best, dense, sparse
 
 WORDS = ["of", "tower", "mill", "stone", "river", "guild", "loom", "cheese", "weir", "canal", "ford", "levee"]
 
@@ -30,8 +34,7 @@ def shuffled(spark, run):
     return out, total() - before
 
 
-def test_sparse_search_moves_no_pairs_and_equals_all_of_them(spark, monkeypatch):
-    monkeypatch.setattr(best, "FIRST", 64)
+def test_sparse_search_moves_no_pairs_and_equals_all_of_them(spark):
     config = EngineConfig(analyzer="whitespace")
     docs = spark.createDataFrame([(f"d{i * 7919 % 3000:05}", t) for i, t in enumerate(texts(3000, 1, 9))], "doc_id string, text string").repartition(4)
     asked = [(i, t) for i, t in enumerate(texts(150, 2, 5))] + [(900, "tower tower unknown"), (901, "unknown"), (902, "")]
@@ -57,3 +60,45 @@ def test_passes_and_numeric_ids(spark, monkeypatch):
     every = sparse.ranked(sparse.scores(sparse.query_terms(q, "whitespace"), sparse.weights(built.posted, built.idf, built.stats, config), built.idf), 5)
     assert want == [tuple(r) for r in every.orderBy("query_id", "rank").select("query_id", "point_id", "score", "rank").collect()]
     assert sparse.search(q.where(F.lit(False)), built, 5, config).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_and_bounds_leave_out_no_result(monkeypatch, seed):
+    monkeypatch.setattr(best, "FIRST", 16)
+    monkeypatch.setattr(best, "LARGEST", 64)
+    rnd = random.Random(seed)
+    docs = [Counter(t.split()) for t in texts(700, seed, 12)]
+    names = [f"{rnd.choice('abc')}{i:04}" for i in rnd.sample(range(9999), len(docs))]
+    lengths = [sum(d.values()) for d in docs]
+    asked = [Counter(t.split()) for t in texts(60, seed + 100, 6)]
+    # a term of negative weight, one of none, and one that no document holds
+    idf = {w: [-0.2, 0.0, 0.1, 0.4, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0][i] for i, w in enumerate(WORDS)} | {"unknown": 0.0}
+    terms = sorted(idf)
+    average, k = sum(lengths) / len(lengths), rnd.choice([1, 5, 40])
+    starts = np.cumsum([0, *[len(a) for a in asked]])
+    payload = best.Asked(terms, np.array([idf[t] for t in terms]), starts, np.array([terms.index(t) for a in asked for t in a]), np.array([float(n) for a in asked for n in a.values()]), average, 1.5, 0.75, k)
+    table = pa.table({"doc_id": names, "len": pa.array(lengths, pa.int32()), "terms": [list(d) for d in docs], "tfs": [list(d.values()) for d in docs]})
+    got = {}
+    for b in best.search(iter(table.to_batches(max_chunksize=90)), payload):
+        for q, i, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got.setdefault(q, []).append((-s, i))
+    for q, a in enumerate(asked):
+        want = []
+        for i, d, n in zip(names, docs, lengths, strict=True):
+            if any(t in d and idf[t] for t in a):
+                s = sum(a[t] * idf[t] * (d[t] * 2.5) / (d[t] + 1.5 * (0.25 + 0.75 * n / average)) for t in a if t in d)
+                want.append((-round(s, 9), i))
+        assert [(round(s, 8), i) for s, i in sorted(got.get(q, []))] == [(round(s, 8), i) for s, i in sorted(want)[:k]]
+
+
+def test_dense_search_gives_a_task_k_rows_of_each_query(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((400, 4)), rng.standard_normal((30, 4))
+    points = spark.createDataFrame([(f"p{i:03}", v.tolist()) for i, v in enumerate(x)], "point_id string, dense array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "query_id int, dense array<double>").coalesce(1)
+    assert dense.scores(q, points, 3, "Dot", 4).count() == 30 * 3
+    got = [(r.query_id, r.point_id) for r in dense.topk(q, points, 3, "Dot", 4).orderBy("query_id", "rank").collect()]
+    assert got == [(i, f"p{j:03}") for i in range(30) for j in np.argsort(-(x @ y[i]))[:3]]
+    monkeypatch.setattr(dense, "HELD", 100)  # given on in between
+    assert [(r.query_id, r.point_id) for r in dense.topk(q, points, 3, "Dot", 4).orderBy("query_id", "rank").collect()] == got
