@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import EngineConfig
-from siftline.operators import best, dense, sparse
+from siftline.operators import best, dense, fusion, sparse
+from siftline.plans import retrieval_queries
 
 WORDS = ["of", "tower", "mill", "stone", "river", "guild", "loom", "cheese", "weir", "canal", "ford", "levee"]
 
@@ -102,3 +103,22 @@ def test_dense_search_gives_a_task_k_rows_of_each_query(spark, monkeypatch):
     assert got == [(i, f"p{j:03}") for i in range(30) for j in np.argsort(-(x @ y[i]))[:3]]
     monkeypatch.setattr(dense, "HELD", 100)  # given on in between
     assert [(r.query_id, r.point_id) for r in dense.topk(q, points, 3, "Dot", 4).orderBy("query_id", "rank").collect()] == got
+
+
+def test_deduplication_by_hash_moves_no_texts(spark):
+    rows = [(1, "p1", "T", "Same  Body", "a", 1), (1, "p2", " t", "same body ", "b", 2), (1, "p3", "T", " ", "other", 3), (1, "p4", "T", None, "OTHER", 4), (1, "p5", None, "same body", "a", 5)]
+    full = spark.createDataFrame(rows, "query_id int, point_id string, title string, context_text string, text string, rank int")
+    slim = full.select("query_id", "point_id", "rank", fusion.body_hash())
+    plain = lambda df: [tuple(r) for r in df.select("point_id", "rank", "dedupe_rank", "duplicate_aliases").orderBy("dedupe_rank").collect()]
+    assert plain(fusion.dedupe(slim, "rank", 2)) == plain(fusion.dedupe(full, "rank", 2)) == [("p1", 1, 1, ["p2"]), ("p3", 3, 2, ["p4"])]
+    assert fusion.dedupe(slim, "rank", 2).columns == ["query_id", "point_id", "rank", "dedupe_rank", "duplicate_aliases"]
+    assert fusion.dedupe_metrics(slim).first() == fusion.dedupe_metrics(full).first()
+
+
+@pytest.mark.parametrize("name", ["sparse_mode_topk", "hybrid_topk", "dedupe_metrics"])
+def test_no_texts_are_shuffled_for_deduplication(spark, sf, name):
+    plan = retrieval_queries.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "xxhash64" in plan and "FlatMapGroups" not in plan
+    for line in plan.splitlines():
+        if "Window" in line or "Aggregate" in line:
+            assert "context_text" not in line and "xxhash64" not in line
