@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import EngineConfig
-from siftline.operators import best, dense, fusion, sparse
+from siftline.operators import best, dense, fusion, sparse, strategies
 from siftline.plans import retrieval_queries
 
 WORDS = ["of", "tower", "mill", "stone", "river", "guild", "loom", "cheese", "weir", "canal", "ford", "levee"]
@@ -122,3 +122,15 @@ def test_no_texts_are_shuffled_for_deduplication(spark, sf, name):
     for line in plan.splitlines():
         if "Window" in line or "Aggregate" in line:
             assert "context_text" not in line and "xxhash64" not in line
+
+
+def test_proxy_writes_no_pairs(spark, raw):
+    made = texts(300, 6, 8)
+    rows = strategies.study_rows(raw(*[{"question": q, "candidates": [a, b], "long_answers": [a]} for q, a, b in zip(made[:100], made[100:200], made[200:], strict=True)])).localCheckpoint()
+    chunks = strategies.build(rows, "raw_candidate").localCheckpoint()
+    queries = strategies.study_queries(rows, 1).localCheckpoint()
+    hits, moved = shuffled(spark, lambda: strategies.proxy_hits(queries, chunks, rows, 3).collect())
+    assert len(hits) == 100 * 3 and len({(h.query_id, h["rank"]) for h in hits}) == 300
+    words = {q.query_id: set(q.text.split()) for q in queries.collect()}
+    pairs = sum(bool(words[q] & set(c.text.split())) for q in words for c in chunks.select("text").collect())
+    assert pairs > 10_000 and moved < pairs / 2
