@@ -134,3 +134,11 @@ def test_proxy_writes_no_pairs(spark, raw):
     words = {q.query_id: set(q.text.split()) for q in queries.collect()}
     pairs = sum(bool(words[q] & set(c.text.split())) for q in words for c in chunks.select("text").collect())
     assert pairs > 10_000 and moved < pairs / 2
+
+
+def test_reranking_ships_no_fields_to_the_join_with_queries(spark, sf, monkeypatch):
+    seen = []
+    real = retrieval_queries._with_fields
+    monkeypatch.setattr(retrieval_queries, "_with_fields", lambda hits, *a: seen.append(hits.columns) or real(hits, *a))
+    assert retrieval_queries.rerank_lexical(spark, sf).columns == ["query_id", "point_id", "fusion_rank", "rerank_rank", "rerank_score"]
+    assert seen == [["query_id", "point_id", "fusion_rank", "query"]]
