@@ -8,11 +8,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import sqlcheck
 from pyspark.sql import functions as F
 
 from siftline.config import EngineConfig
 from siftline.operators import best, dense, fusion, sparse, strategies
-from siftline.plans import retrieval_queries
+from siftline.plans import retrieval_queries, shared
 
 WORDS = ["of", "tower", "mill", "stone", "river", "guild", "loom", "cheese", "weir", "canal", "ford", "levee"]
 
@@ -142,3 +143,36 @@ def test_reranking_ships_no_fields_to_the_join_with_queries(spark, sf, monkeypat
     monkeypatch.setattr(retrieval_queries, "_with_fields", lambda hits, *a: seen.append(hits.columns) or real(hits, *a))
     assert retrieval_queries.rerank_lexical(spark, sf).columns == ["query_id", "point_id", "fusion_rank", "rerank_rank", "rerank_score"]
     assert seen == [["query_id", "point_id", "fusion_rank", "query"]]
+
+
+def test_marks_pass_all_wanted_rows_and_few_others(spark, monkeypatch):
+    rows = [(f"k{i}" if i % 50 else None, i) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "id string, n int")
+    wanted = spark.createDataFrame([(f"k{i}",) for i in range(0, 20_000, 7)] * 2 + [(None,), ("unknown",)], "id string")
+    assert shared.among(table, "id", wanted) is table  # few rows: the join moves nothing
+    monkeypatch.setattr(shared, "SMALL_ROWS", 100)
+    got = shared.among(table, "id", wanted)
+    assert got.columns == ["id", "n"]
+    passed = [r.n for r in got.collect()]
+    hit = {i for i in range(0, 20_000, 7) if i % 50}
+    assert len(passed) == len(set(passed)) and hit <= set(passed) and len(passed) < len(hit) + 20_000 / 10
+    assert shared.among(table, "id", wanted.limit(0)) is table
+    monkeypatch.setattr(shared, "MARKED_ROWS", 1_000)
+    assert shared.among(table, "id", wanted) is table
+
+
+@pytest.mark.parametrize("name", ["rerank_inputs"])
+def test_texts_that_no_query_hits_stay(spark, sf, monkeypatch, name):
+    d = sf.replace("sf0.001", "sf0.01")
+    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
+    monkeypatch.setattr(retrieval_queries, "small", lambda df: df.hint("merge"))  # as beyond the size that is sent to every executor
+    real, moved = retrieval_queries._with_fields, []
+
+    def counted(hits, *a):
+        hits = shared.cut(hits)
+        moved.append(shuffled(spark, lambda: real(hits, *a).write.format("noop").mode("overwrite").save())[1])
+        return real(hits, *a)
+
+    monkeypatch.setattr(retrieval_queries, "_with_fields", counted)
+    sqlcheck.same(spark, d, retrieval_queries.QUERIES[name], retrieval_queries.ORACLES[name], sqlcheck.connect(d))
+    assert len(moved) == 1 and moved[0] < spark.read.parquet(f"{d}/index_chunks.parquet").count()
