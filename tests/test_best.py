@@ -161,7 +161,7 @@ def test_marks_pass_all_wanted_rows_and_few_others(spark, monkeypatch):
     assert shared.among(table, "id", wanted) is table
 
 
-@pytest.mark.parametrize("name", ["rerank_inputs", "prompts"])
+@pytest.mark.parametrize("name", ["rerank_inputs", "prompts", "citation_filter"])
 def test_texts_that_no_query_hits_stay(spark, sf, monkeypatch, name):
     d = sf.replace("sf0.001", "sf0.01")
     monkeypatch.setattr(shared, "SMALL_ROWS", 0)
@@ -176,3 +176,10 @@ def test_texts_that_no_query_hits_stay(spark, sf, monkeypatch, name):
     monkeypatch.setattr(retrieval_queries, "_with_fields", counted)
     sqlcheck.same(spark, d, retrieval_queries.QUERIES[name], retrieval_queries.ORACLES[name], sqlcheck.connect(d))
     assert len(moved) == 1 and moved[0] < spark.read.parquet(f"{d}/index_chunks.parquet").count()
+
+
+def test_citations_and_evidence_come_from_one_search(spark, sf, monkeypatch):
+    real, asked = retrieval_queries._sparse, []
+    monkeypatch.setattr(retrieval_queries, "_sparse", lambda s, d, k: asked.append(k) or real(s, d, k))
+    sqlcheck.same(spark, sf, retrieval_queries.citation_filter, retrieval_queries.ORACLES["citation_filter"], sqlcheck.connect(sf))
+    assert asked == [retrieval_queries.K]
