@@ -161,7 +161,7 @@ def test_marks_pass_all_wanted_rows_and_few_others(spark, monkeypatch):
     assert shared.among(table, "id", wanted) is table
 
 
-@pytest.mark.parametrize("name", ["rerank_inputs", "prompts", "citation_filter", "prompt_budget"])
+@pytest.mark.parametrize("name", ["rerank_inputs", "prompts", "citation_filter", "prompt_budget", "grounded_heuristic"])
 def test_texts_that_no_query_hits_stay(spark, sf, monkeypatch, name):
     d = sf.replace("sf0.001", "sf0.01")
     monkeypatch.setattr(shared, "SMALL_ROWS", 0)
