@@ -178,6 +178,37 @@ def test_texts_that_no_query_hits_stay(spark, sf, monkeypatch, name):
     assert len(moved) == 1 and moved[0] < spark.read.parquet(f"{d}/index_chunks.parquet").count()
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Forty questions that all hit the same ten texts of 80 kB."""
+    rnd, d = random.Random(5), str(tmp_path_factory.mktemp("long"))
+    long = [" ".join(["needle", *(f"{rnd.getrandbits(32):08x}" for _ in range(9_000)), "needle."]) for _ in range(10)]
+    said = [*long, *texts(390, 8, 9)]
+    rows = [(f"c{i:03}", f"g{i}", t, t if i % 3 else None, i, 0, 1, ["paragraph", None], "T" if i % 2 else None, "s", "where is the needle?", None, None, "paragraph", 1, 1, ["x"]) for i, t in enumerate(said)]
+    rows += [(f"d{i:03}", f"h{i}", " tower. ", " ", 20 * i, 2, 2, None, None, "s", "where is the needle?", None, None, "paragraph", 1, 1, None) for i in range(40)]
+    schema = "chunk_id string, group_id string, text string, context_text string, source_row_ordinal bigint, start_candidate_idx int, end_candidate_idx int, passage_types array<string>, title string, source string, question string, document_url string, parent_candidate_idx int, chunk_kind string, token_count int, context_token_count int, long_answers array<string>"
+    spark.createDataFrame(rows, schema).toPandas().to_parquet(f"{d}/index_chunks.parquet")
+    return d, sum(map(len, long))
+
+
+@pytest.mark.parametrize("name", ["prompts"])
+def test_long_texts_move_no_more_than_the_budget(spark, long_texts, monkeypatch, name):
+    d, size = long_texts
+    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
+    monkeypatch.setattr(retrieval_queries, "small", lambda df: df.hint("merge"))
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${i}")() for i in range(2, 6)])
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    retrieval_queries._index(spark, d)  # moves the terms of all texts
+    before = written()
+    sqlcheck.same(spark, d, retrieval_queries.QUERIES[name], retrieval_queries.ORACLES[name], sqlcheck.connect(d))
+    assert written() - before < size / 4
+
+
 def test_citations_and_evidence_come_from_one_search(spark, sf, monkeypatch):
     real, asked = retrieval_queries._sparse, []
     monkeypatch.setattr(retrieval_queries, "_sparse", lambda s, d, k: asked.append(k) or real(s, d, k))
