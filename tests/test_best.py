@@ -191,7 +191,7 @@ def long_texts(spark, tmp_path_factory):
     return d, sum(map(len, long))
 
 
-@pytest.mark.parametrize("name", ["prompts", "grounded_heuristic"])
+@pytest.mark.parametrize("name", ["prompts", "grounded_heuristic", "prompt_budget"])
 def test_long_texts_move_no_more_than_the_budget(spark, long_texts, monkeypatch, name):
     d, size = long_texts
     monkeypatch.setattr(shared, "SMALL_ROWS", 0)
