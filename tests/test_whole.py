@@ -15,3 +15,12 @@ def test_evaluation_asks_every_row_with_gold(spark, sf):
     labelled = {r.query for r in retrieval_queries.eval_cases(spark, d).collect()}
     rows = con.sql("SELECT source_row_ordinal, min(trim(question)) FROM index_chunks WHERE trim(question) <> '' GROUP BY 1").fetchall()
     assert asked == {sum(q in labelled for _, q in rows)} and sum(o % 20 != 0 for o, q in rows if q in labelled) > 100
+
+
+def test_heuristic_answers_every_row_with_a_hit(spark, sf):
+    con = sqlcheck.connect(sf)
+    query = retrieval_queries.QUERIES["grounded_heuristic"]
+    sqlcheck.same(spark, sf, query, retrieval_queries.ORACLES["grounded_heuristic"], con)
+    asked = {r[0] for r in con.sql("SELECT DISTINCT source_row_ordinal FROM index_chunks WHERE trim(question) <> ''").fetchall()}
+    answered = {r.query_id for r in query(spark, sf).collect()}
+    assert answered <= asked and len([o for o in answered if o % 20]) > 0.9 * len([o for o in asked if o % 20]) > 0
